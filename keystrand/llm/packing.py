@@ -10,6 +10,7 @@ the gaps.  Pieces are dealt over blocks of bounded size, and each block is packe
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -32,7 +33,11 @@ BLOCK = 1 << 16
 # tokenizer as a whole.
 _ODD = re.compile("[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 _PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r 0-9a-z\xdf-\xf6\xf8-\xff]+")
-_CACHE = 300_000
+_CACHE = 400_000
+# Byte-level models write bytes that don't print as the code points from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_pack_ids = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -45,7 +50,7 @@ def _tokenizer(path: str) -> tuple:
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _tokenizers[path] = (tok, {})
+        _tokenizers[path] = (tok, tok.model, {})
     return _tokenizers[path]
 
 
@@ -55,14 +60,16 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     Words met before come from a bounded cache of this process, which starts afresh when full;
     results don't depend on it.  Strings of special tokens in a text are ordinary text.
     """
-    tok, cache = _tokenizer(path)
+    tok, model, cache = _tokenizer(path)
     words = [None if _ODD.search(t) else _PRE.findall(t.lower()) for t in texts]
     new = [w for w in set().union(*(w for w in words if w)) if w not in cache]
     if len(cache) + len(new) > _CACHE:
         cache.clear()
         new = list(set().union(*(w for w in words if w)))
-    for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-        cache[w] = np.array(e.ids, "<u4").tobytes()
+    for w in new:
+        own = w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in model.tokenize(own)]
+        cache[w] = _pack_ids[len(ids)](*ids) if len(ids) < 32 else np.array(ids, "<u4").tobytes()
     get = cache.__getitem__
     return [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
 

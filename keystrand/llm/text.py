@@ -64,25 +64,27 @@ def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.n
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
 
 
-def _segments(data: np.ndarray) -> Iterator[tuple[int, int]]:
+def _segments(data: np.ndarray, gaps: np.ndarray) -> Iterator[tuple[int, int]]:
     at, n = 0, len(data)
     while at < n:
         end = min(at + _SEGMENT, n)
-        while end < n and not SPACE[data[end]]:
+        while end < n and not gaps[data[end]]:
             step = min(n, end + 4096)
-            gap = np.flatnonzero(SPACE[data[end:step]])
+            gap = np.flatnonzero(gaps[data[end:step]])
             end = end + int(gap[0]) if len(gap) else step
         yield at, end
         at = end
 
 
-def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each text the index of its first (n+1 entries)."""
+def word_spans(offsets: np.ndarray, data: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each text the index of its first (n+1 entries).
+
+    With other ``gaps``, the runs between these bytes instead of words."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    solid = ~SPACE[data]
+    solid = ~gaps[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begin = solid.copy()
@@ -98,17 +100,17 @@ def word_counts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return np.diff(word_spans(offsets, data)[2])
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all lower-cased words in order, and the first index of each text (n+1)."""
-    starts, ends, first = word_spans(offsets, data)
+def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = True, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and the first index of each text (n+1)."""
+    starts, ends, first = word_spans(offsets, data, gaps)
     out = np.empty(len(starts), np.uint64)
     done = 0
-    for a, b in _segments(data):
+    for a, b in _segments(data, gaps):
         k = int(np.searchsorted(starts, b))
         if k == done:
             continue
         up, down = _power(b - a)
-        values = LOWER[data[a:b]].astype(np.uint64)
+        values = (LOWER[data[a:b]] if lower else data[a:b]).astype(np.uint64)
         values += np.uint64(1)
         values *= up[: b - a]
         sums = np.zeros(b - a + 1, np.uint64)
@@ -122,6 +124,34 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(out), first
 
 
+def windows(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``size`` words within one text, and where each starts."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        h = np.zeros(n, np.uint64)
+        for j in range(size):
+            h *= np.uint64(_BASE)
+            h += words[j : j + n]
+    crosses = np.zeros(len(words) + 1, bool)
+    for j in range(1, size):
+        at = first[1:-1] - j
+        crosses[at[at >= 0]] = True
+    # a text shorter than the window is crossed by starts in it or before it
+    inside = np.flatnonzero(~crosses[:n])
+    return mix(h[inside]), inside
+
+
+def groups_of_equal(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the keys, and in that order whether a key is the first of its kind."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    return order, new
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with about ``most`` bytes of text each (one row at least)."""
     offsets, _ = string_buffers(batch.column(column))

@@ -11,7 +11,6 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -113,15 +112,6 @@ def _batch(rows: list[tuple], names: list[str], id_type: pa.DataType) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c, id_type if n == "doc_id" else _TYPES.get(n, pa.string())) for n, c in zip(names, columns)], names)
 
 
-def _filter_of(keys: DataFrame, column: str) -> np.ndarray:
-    """Bits set at the hashes of all keys: 2^FILTER_BITS bits whatever the input."""
-    bit = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
-    words = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), {1 << FILTER_BITS}) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out
-
-
 def collisions(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """(fingerprint, f_check, suffix) of texts that share a digest with a different canonical text.
 
@@ -130,8 +120,7 @@ def collisions(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     twice = marks.groupBy("fingerprint").count().where("count > 1")
-    bits = _filter_of(twice, "fingerprint")
-    shared = spark.sparkContext.broadcast(bits)
+    shared = spark.sparkContext.broadcast(scratch.filter_bits(twice, F.xxhash64("fingerprint"), FILTER_BITS))
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,16 +132,12 @@ def collisions(docs: DataFrame, marks: DataFrame) -> DataFrame:
                     out.append((*digest(canon), canon))
                 yield _batch(out, ["fingerprint", "f_check", "canon"], pa.int64())
 
-    bit = F.pmod(F.xxhash64("fingerprint"), F.lit(1 << FILTER_BITS))
-
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("bit").to_numpy()
-            keep = (shared.value[at >> 6] >> (at & 63)) & 1
-            yield batch.filter(pa.array(keep.astype(bool)))
+            yield batch.filter(pa.array(scratch.in_filter(shared.value, batch.column("hash").to_numpy())))
 
-    made = rows.mapInArrow(marked, "fingerprint string, f_check long, canon string").withColumn("bit", bit)
-    twins = made.mapInArrow(hit, "fingerprint string, f_check long, canon string, bit long").drop("bit")
+    made = rows.mapInArrow(marked, "fingerprint string, f_check long, canon string").withColumn("hash", F.xxhash64("fingerprint"))
+    twins = made.mapInArrow(hit, "fingerprint string, f_check long, canon string, hash long").drop("hash")
     salted = twins.withColumn("salt", F.floor(F.rand(5) * SALTS).cast("int"))
     for keys in (["fingerprint", "salt"], ["fingerprint"]):
         salted = salted.repartition(*keys).sortWithinPartitions("fingerprint", "salt").mapInArrow(_distinct, salted.schema)

@@ -10,7 +10,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +39,19 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def filter_bits(keys: DataFrame, hashed: Column, bits: int) -> np.ndarray:
+    """A filter of 2^bits bits, whatever the input, with that of each key's hash set."""
+    at = F.pmod(hashed, F.lit(1 << bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.select(F.shiftright(at, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bit"].to_numpy()
+    return out
+
+
+def in_filter(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each (signed 64-bit) hash may be one of the filter's keys."""
+    at = hashes & np.int64(len(held) * 64 - 1)
+    return ((held[at >> 6] >> (at & 63)) & 1).astype(bool)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, mixing, outliers, packing, quality, warc
+from . import fingerprints, jaccard, licenses, mixing, outliers, packing, quality, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(_read(spark, sf_dir, "documents"))
 
@@ -52,6 +56,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_quality_classifier, op6_quality_rules, op7_fingerprints, op8_license_scan, op9_packing, op10_warc)
+    f.__name__: f for f in (op1_mixing, op3_quality_classifier, op5_ngram_jaccard, op6_quality_rules, op7_fingerprints, op8_license_scan, op9_packing, op10_warc)
 }
 ORACLE_SQL: dict[str, str] = {"op10_warc": warc.ORACLE_SQL}

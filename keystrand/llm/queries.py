@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, licenses, mixing, outliers, packing, quality, warc
+from . import fingerprints, jaccard, licenses, mixing, outliers, packing, ppm, quality, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_read(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -56,6 +60,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_quality_classifier, op5_ngram_jaccard, op6_quality_rules, op7_fingerprints, op8_license_scan, op9_packing, op10_warc)
+    f.__name__: f for f in (op1_mixing, op2_lm_scoring, op3_quality_classifier, op5_ngram_jaccard, op6_quality_rules, op7_fingerprints, op8_license_scan, op9_packing, op10_warc)
 }
 ORACLE_SQL: dict[str, str] = {"op10_warc": warc.ORACLE_SQL}

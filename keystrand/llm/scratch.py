@@ -37,7 +37,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: computed once, short lineage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

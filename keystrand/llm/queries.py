@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, licenses, mixing, outliers, packing, ppm, quality, warc
+from . import fingerprints, jaccard, licenses, mixing, outliers, packing, ppm, quality, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_read(spark, sf_dir, "documents"), tokenizer_path(spark, "piece_bpe_32k.model"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents"))
 
@@ -60,6 +64,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_lm_scoring, op3_quality_classifier, op5_ngram_jaccard, op6_quality_rules, op7_fingerprints, op8_license_scan, op9_packing, op10_warc)
+    f.__name__: f for f in (op1_mixing, op2_lm_scoring, op3_quality_classifier, op4_token_counts, op5_ngram_jaccard, op6_quality_rules, op7_fingerprints, op8_license_scan, op9_packing, op10_warc)
 }
 ORACLE_SQL: dict[str, str] = {"op10_warc": warc.ORACLE_SQL}

@@ -7,10 +7,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrand.llm import mixing, packing, scratch
+from keystrand.llm import jaccard, mixing, outliers, packing, quality, scratch
 from keystrand.llm.queries import tokenizer_path
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier, fitted to ``labels``, doesn't reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def pass_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the quality rules of their language and source."""
+    return outliers.keep_normal(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates."""
+    return jaccard.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows once per copy that the mix takes."""
     return mixing.mix(docs)
@@ -21,7 +36,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.packed(docs, tokenizer_path(spark, "word_bpe_49k.json"))
 
 
-STAGES = [("mixing sources to target weights", mix_sources), ("best-fit packing", pack_sequences)]
+STAGES = [
+    ("quality classifier", good_quality),
+    ("quality rules", pass_rules),
+    ("n-gram Jaccard join", one_of_each),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 

@@ -70,7 +70,7 @@ def _class_keys(keys: np.ndarray, bound: np.ndarray) -> np.ndarray:
 
 
 def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, cls) of every document, and the sketch: how many documents hold a shingle of
+    """(doc_id, h, n, cls) of every document (doc_id, h, text), and the sketch: how many documents hold a shingle of
     each of 2^SKETCH_BITS hash ranges."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -83,12 +83,12 @@ def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 keys, bound = _sets(part.column("text"))
                 np.add.at(counts, (keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bound).astype(np.int64)), pa.array(_class_keys(keys, bound)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n", "cls", "slice", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(np.diff(bound).astype(np.int64)), pa.array(_class_keys(keys, bound)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "h", "n", "cls", "slice", "counts"])
         if id_type is not None:
             parts = counts.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, id_type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "n", "cls", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, id_type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "h", "n", "cls", "slice", "counts"])
 
-    made = scratch.table(docs.mapInArrow(run, f"doc_id {kind}, n long, cls long, slice int, counts binary"), "survey")
+    made = scratch.table(docs.mapInArrow(run, f"doc_id {kind}, h long, n long, cls long, slice int, counts binary"), "survey")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -101,7 +101,7 @@ def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
     for k, raw in made.where("slice is not null").select("slice", "counts").repartitionById(SLICES, F.col("slice")).mapInArrow(add, "slice int, counts binary").collect():
         sketch[k] = np.frombuffer(raw, np.int64)
-    return made.where("slice is null").select("doc_id", "n", "cls"), sketch.ravel()
+    return made.where("slice is null").select("doc_id", "h", "n", "cls"), sketch.ravel()
 
 
 def _prefix_rows(docs: DataFrame, sketch: np.ndarray, n_shards: int) -> DataFrame:
@@ -289,6 +289,16 @@ def class_components(meetings: DataFrame, sets: DataFrame) -> DataFrame | None:
     return roots
 
 
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The survey of ``docs``, and (cls, root) of the classes that link with another."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    survey, sketch = _survey(rows)
+    total = survey.where("n > 0").agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
+    n_shards = max(12, -(-total * _ROW.itemsize // SHARD_BYTES))
+    meetings = _meetings(_prefix_rows(rows.select("text"), sketch, n_shards), sketch, n_shards)
+    return survey, class_components(meetings, _set_table(rows.select("text"), meetings))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """Query op5: doc_id, n_shingles and component_id for each row of ``docs``.
 
@@ -297,13 +307,8 @@ def join(docs: DataFrame) -> DataFrame:
     is named by the smallest doc_id that is not null; an empty table gives no rows.  Classes are
     told apart by 64-bit keys of their sets.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    survey, sketch = _survey(rows)
+    survey, roots = _linked(docs)
     full = survey.where("n > 0")
-    total = full.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
-    n_shards = max(12, -(-total * _ROW.itemsize // SHARD_BYTES))
-    meetings = _meetings(_prefix_rows(rows.select("text"), sketch, n_shards), sketch, n_shards)
-    roots = class_components(meetings, _set_table(rows.select("text"), meetings))
     classes = full.groupBy("cls").agg(F.min("doc_id").alias("low"))
     if roots is None:
         named = classes.select("cls", F.col("low").alias("component_id"))
@@ -312,3 +317,32 @@ def join(docs: DataFrame) -> DataFrame:
         named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("cls", "component_id")
     out = full.join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionAll(survey.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns: of each component that with the smallest doc_id (null
+    last; of equal ones that with the smallest hash of its text, and one of rows that repeat).
+
+    Rows without shingles all stay."""
+    survey, roots = _linked(docs)
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("low")
+    classes = survey.where("n > 0").groupBy("cls").agg(low)
+    if roots is not None:
+        classes = classes.join(roots, "cls", "left").groupBy(F.coalesce("root", "cls")).agg(F.min("low").alias("low"))
+    firsts = classes.select(F.col("low.doc_id").alias("q_id"), F.col("low.h").alias("q_h"))
+    many = survey.where("n > 0").groupBy(F.col("doc_id").alias("q_id"), F.col("h").alias("q_h")).count()
+    firsts = scratch.table(firsts.join(many, firsts["q_id"].eqNullSafe(many["q_id"]) & (firsts["q_h"] == many["q_h"])).select(firsts["q_id"], firsts["q_h"], "count"), "firsts")
+    mark = "q_hash"
+    while mark in docs.columns:
+        mark += "_"
+    rows = docs.withColumn(mark, F.xxhash64("text"))
+
+    def matching(keys: DataFrame) -> DataFrame:
+        return rows.join(keys, rows["doc_id"].eqNullSafe(keys["q_id"]) & (rows[mark] == keys["q_h"]), "left_semi")
+
+    blank = docs.where(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    out = matching(firsts.where("count = 1"))
+    repeated = firsts.where("count > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(matching(repeated).dropDuplicates(["doc_id", mark]))
+    return out.drop(mark).unionByName(blank)

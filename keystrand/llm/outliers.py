@@ -218,3 +218,25 @@ def judge(docs: DataFrame) -> DataFrame:
     judged = table.where("not base_failed").join(models, "g").select("doc_id", *_BASE, "base_failed", "g", "x", "m").mapInArrow(run, schema)
     failed = table.where("base_failed").select("doc_id", *_BASE, "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return judged.unionByName(failed)
+
+
+def keep_normal(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that pass the base rules and are no outliers."""
+    table = stats_table(docs)
+    models = estimates(table.where("not base_failed").select("g", "x", "part", "slot")).select(F.col("g").alias("q_g"), F.col("m").alias("q_m"))
+    names = docs.columns
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], group_key(F.col("lang"), F.col("source")).alias("q_g"))
+    text = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, f"k{text}", 1 << 20):
+                s = stats.statistics(part.column(f"k{text}"))
+                x = pa.array(stats.features(s)[:, AT].tolist(), pa.list_(pa.float64()))
+                keep = (s[:, 0] >= 20) & (100 * s[:, 4] <= 30 * s[:, 0])
+                for at, _, d in _by_model(pa.RecordBatch.from_arrays([part.column("q_g"), x, part.column("q_m")], ["g", "x", "m"])):
+                    keep[at] &= d <= CUTOFF
+                part = part.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(part.columns[: len(names)], names)
+
+    return rows.join(models, "q_g").select(*[f"k{i}" for i in range(len(names))], "q_g", "q_m").mapInArrow(run, docs.schema)

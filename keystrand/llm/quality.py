@@ -153,3 +153,20 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return table.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "x").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that the classifier doesn't reject.
+
+    The fitted model judges each row in place, so no row needs to be joined to its verdict."""
+    marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    known = marks.where(~is_held_out(F.col("doc_id")))
+    table = feature_table(docs.select("doc_id", "text").where(~is_held_out(F.col("doc_id"))))
+    model = fit(table.join(known, "doc_id").select("y", "x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, "text", 1 << 20):
+                yield part.filter(pa.array(model.score(stats.features(stats.statistics(part.column("text")))) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -122,3 +122,19 @@ def with_offsets(staged: DataFrame) -> DataFrame:
 def buffered_bytes(log: DataFrame) -> DataFrame:
     """One row: the bytes these versions take in a write buffer."""
     return log.agg(F.coalesce(F.sum(entry_bytes()), F.lit(0)).cast("long").alias("n_bytes"))
+
+
+def range_versions(log: DataFrame, start: Bound = UNBOUNDED, end: Bound = UNBOUNDED) -> DataFrame:
+    """All versions of the keys in a range, in internal order."""
+    return ordered(log.where(in_range(F.col("key"), start, end)))
+
+
+def differences(state: DataFrame, other: DataFrame) -> DataFrame:
+    """(key, value, side) rows that only one of two states has; none if they are equal."""
+    left, right = state.select("key", "value"), other.select("key", "value")
+    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def values_written(log: DataFrame) -> DataFrame:
+    """Distinct (key, value) pairs that were ever put: what a read may return."""
+    return log.where(F.col("op") == PUT).select("key", "value").distinct()

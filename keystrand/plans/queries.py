@@ -141,6 +141,23 @@ def kv_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(V.history(event_log(spark, sf_dir), "user_000007"), "seq", F.col("op").cast("int").alias("op"))
 
 
+@_query(_LOG + "SELECT k, seq, v FROM log WHERE k > 'user_000003' AND k <= 'user_000006'")
+def kv_range_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text(V.range_versions(event_log(spark, sf_dir), excluded("user_000003"), included("user_000006")), "seq")
+
+
+@_query(_LOG + """, past AS (SELECT k, v FROM (SELECT * FROM log WHERE seq <= 5000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) WHERE op = 1)
+(SELECT k, v, 'left' AS side FROM live EXCEPT SELECT k, v, 'left' FROM past) UNION ALL (SELECT k, v, 'right' AS side FROM past EXCEPT SELECT k, v, 'right' FROM live)""")
+def kv_state_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    return _text(V.differences(V.live_view(log), V.live_view(V.as_of(log, 5000))), "side")
+
+
+@_query(_LOG + "SELECT DISTINCT k, v FROM log WHERE op = 1")
+def kv_values_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text(V.values_written(event_log(spark, sf_dir)))
+
+
 @_query(_LOG + "SELECT k, seq FROM newest WHERE op = 0")
 def kv_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.tombstones(event_log(spark, sf_dir)).withColumnRenamed("key", "k")
@@ -387,6 +404,11 @@ def bench_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.throughput(table(spark, sf_dir, "events"), 30.0).withColumn("ops_per_sec", F.round("ops_per_sec", 6))
 
 
+@_query("SELECT event_id AS step, CAST(event_id * 1000000000 // 2000 AS BIGINT) AS intended_ns FROM events")
+def bench_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workload.scheduled(table(spark, sf_dir, "events").select(F.col("event_id").alias("step")), 2000)
+
+
 @_query()
 def bench_zipf_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "orders").count()

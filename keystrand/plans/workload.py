@@ -5,7 +5,7 @@ from __future__ import annotations
 import tomllib
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrand.functions import samplers
@@ -86,7 +86,6 @@ def operations(spark: SparkSession, spec: Workload, n: int, seed: int = 42) -> D
     Inserts take the next key numbers in order of step; latest-biased reads count back from the
     keys there are at their step.  Both need the number of inserts before a step, which comes from
     counts per block of steps and a running count within the block."""
-    block = 1 << 16
     u = lambda salt: samplers.unit(F.col("step"), seed, salt)
     steps = spark.range(n).select(F.col("id").alias("step"), F.shiftright("id", 16).alias("block"))
     kinds = steps.withColumn("kind", samplers.pick(u(1), spec.op_mix))
@@ -97,10 +96,7 @@ def operations(spark: SparkSession, spec: Workload, n: int, seed: int = 42) -> D
     for b, k in sums:
         offsets.append((b, total))
         total += k
-    del block
     placed = kinds.join(spark.createDataFrame(offsets, "block long, offset long"), "block")
-    from pyspark.sql import Window
-
     before = F.coalesce(F.sum(is_insert).over(Window.partitionBy("block").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     there = (F.lit(spec.keys) + F.col("offset") + before).alias("there")
     rows = placed.select("step", "kind", there)
@@ -112,3 +108,9 @@ def operations(spark: SparkSession, spec: Workload, n: int, seed: int = 42) -> D
         index = samplers.latest_key(rank, F.col("there")) if kind == "latest" else F.least(rank, F.col("there")) - 1
     number = F.when(F.col("kind") == "insert", F.col("there")).otherwise(index)
     return rows.select("step", "kind", encode_key(number).alias("key"), F.when(F.col("kind") == "scan", samplers.scan_length(u(3), spec.max_scan_length)).alias("scan_length"))
+
+
+def scheduled(ops: DataFrame, per_second: int) -> DataFrame:
+    """Adds intended_ns, when a closed loop of that rate would start each step; latencies count
+    from there, so that a stalled operation delays the ones after it."""
+    return ops.withColumn("intended_ns", F.expr(f"cast(step as long) * 1000000000 div {int(per_second)}"))

@@ -123,12 +123,11 @@ def test_stream_ingest(spark, tmp_path):
 def test_newest_as_state(spark, tmp_path):
     src = f"file://{tmp_path}/in"
     schema = "key string, seq long, op byte, value binary"
-    for k, batch in enumerate(([("a", 5, 1, bytearray(b"5")), ("b", 1, 1, bytearray(b"1"))], [("a", 2, 1, bytearray(b"2")), ("b", 7, 0, None)])):
+    for batch in ([("a", 5, 1, bytearray(b"5")), ("b", 1, 1, bytearray(b"1"))], [("a", 2, 1, bytearray(b"2")), ("b", 7, 0, None)]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
         q = newest_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"file://{tmp_path}/c").foreachBatch(lambda df, i: df.write.mode("append").parquet(f"file://{tmp_path}/out")).trigger(availableNow=True).start()
         q.awaitTermination()
-        del k
     got = sorted((r["key"], r["seq"], r["op"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
     assert got == [("a", 5, 1), ("b", 1, 1), ("b", 7, 0)]
 

@@ -3,8 +3,8 @@
 Documents with equal shingle sets form a class and are compared once.  Shingles are ordered by
 their frequency in a count sketch of fixed size, rare ones first, ties by hash.  Two sets of
 Jaccard similarity 0.8 or more share a shingle in their prefixes of n/5 + 1 shingles; classes that
-meet on one are candidates where length and position allow it, and a candidate pair is verified
-once, on whole sets, after a suffix filter.
+meet on one are candidates where length, position and suffix allow it, and a
+candidate pair is verified once, on whole sets.
 
 Only components matter, so pairs are tried in rounds: first with a few leaders of each prefix
 shingle, then, wherever a shingle still joins different components, with more, and in the last
@@ -14,6 +14,7 @@ group of near copies never emits all its pairs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,14 @@ SLICES = 16
 HOT = 1 << 16
 SHARD_BYTES = 16 << 20
 FILTER_BITS = 26
+#: The suffix filter cuts hash space into so many ranges, of whose sizes it keeps the parities.
+RANGE_BITS = 9
+_SIGN = 1 << (RANGE_BITS - 6)
+_SIGNS = [f"s{i}" for i in range(_SIGN)]
+#: In the bounded comparison of neighbours, so many rows of a prefix shingle are looked at.
+NEIGHBOURS = 64
+#: Pairs of one leader that are verified in one group.
+GROUP = 200
 #: Leaders per prefix shingle in each round but the last.
 LEADERS = (2, 8)
 
@@ -69,10 +78,23 @@ def _class_keys(keys: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _signatures(keys: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Parities of the sizes of 2^RANGE_BITS hash ranges, as 64-bit words for each set.
+
+    A range whose parities differ holds a shingle that only one of two sets has, so the number of
+    those ranges bounds the symmetric difference from below."""
+    n = len(bound) - 1
+    owner = np.repeat(np.arange(n), np.diff(bound))
+    at = (T.mix(keys) >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+    parity = (np.bincount((owner << RANGE_BITS) + at, minlength=n << RANGE_BITS) & 1).astype(np.uint8)
+    return np.packbits(parity.reshape(n, -1), axis=1, bitorder="little").view(np.int64)
+
+
 def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, h, n, cls) of every document (doc_id, h, text), and the sketch: how many documents hold a shingle of
+    """(doc_id, h, n, cls, signature) of every document (doc_id, h, text), and the sketch: how many documents hold a shingle of
     each of 2^SKETCH_BITS hash ranges."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "h", "n", "cls", *_SIGNS, "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -82,13 +104,13 @@ def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             for part in T.slices(batch, "text", 1 << 20):
                 keys, bound = _sets(part.column("text"))
                 np.add.at(counts, (keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(np.diff(bound).astype(np.int64)), pa.array(_class_keys(keys, bound)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "h", "n", "cls", "slice", "counts"])
+                n, signs = part.num_rows, _signatures(keys, bound)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(np.diff(bound).astype(np.int64)), pa.array(_class_keys(keys, bound)), *(pa.array(np.ascontiguousarray(signs[:, i])) for i in range(_SIGN)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if id_type is not None:
             parts = counts.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, id_type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "h", "n", "cls", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, id_type), *(pa.nulls(SLICES, pa.int64()) for _ in names[1:-2]), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
-    made = scratch.table(docs.mapInArrow(run, f"doc_id {kind}, h long, n long, cls long, slice int, counts binary"), "survey")
+    made = scratch.table(scratch.map_arrow(docs, run, f"doc_id {kind}, {', '.join(f'{n} long' for n in names[1:-2])}, slice int, counts binary"), "survey")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -99,9 +121,9 @@ def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "counts"])
 
     sketch = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
-    for k, raw in made.where("slice is not null").select("slice", "counts").repartitionById(SLICES, F.col("slice")).mapInArrow(add, "slice int, counts binary").collect():
+    for k, raw in scratch.map_arrow(made.where("slice is not null").select("slice", "counts").repartitionById(SLICES, F.col("slice")), add, "slice int, counts binary").collect():
         sketch[k] = np.frombuffer(raw, np.int64)
-    return made.where("slice is null").select("doc_id", "h", "n", "cls"), sketch.ravel()
+    return made.where("slice is null").select(*names[:-2]), sketch.ravel()
 
 
 def _prefix_rows(docs: DataFrame, sketch: np.ndarray, n_shards: int) -> DataFrame:
@@ -132,7 +154,7 @@ def _prefix_rows(docs: DataFrame, sketch: np.ndarray, n_shards: int) -> DataFram
         if held:
             yield _dealt(np.concatenate(held), counts, n_shards)
 
-    return docs.mapInArrow(run, "shard int, rows binary")
+    return scratch.map_arrow(docs, run, "shard int, rows binary")
 
 
 def _dealt(rows: np.ndarray, counts: np.ndarray, n_shards: int) -> pa.RecordBatch:
@@ -148,7 +170,8 @@ def _dealt(rows: np.ndarray, counts: np.ndarray, n_shards: int) -> pa.RecordBatc
 
 
 def _meetings(packed: DataFrame, sketch: np.ndarray, n_shards: int) -> DataFrame:
-    """(token, cls, n, pos) of prefix rows that share their token with a class of a like size."""
+    """(token, cls, n, pos) of prefix rows that share their token with a class whose size and
+    position fit theirs.  Of tokens with many rows, all rows with a class of a like size."""
     shared = packed.sparkSession.sparkContext.broadcast(np.flatnonzero(sketch >= HOT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,21 +185,28 @@ def _meetings(packed: DataFrame, sketch: np.ndarray, n_shards: int) -> DataFrame
         fresh = np.ones(len(rows), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]) | (n[1:] != n[:-1])
         rows = rows[fresh]
-        token, n = rows["token"], rows["n"].astype(np.int64)
-        near = (token[1:] == token[:-1]) & (5 * n[:-1] >= 4 * n[1:])
+        token, n, rest = rows["token"], rows["n"].astype(np.int64), rows["n"].astype(np.int64) - rows["pos"]
         keep = np.isin((token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), shared.value)
-        keep[1:] |= near
-        keep[:-1] |= near
+        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        many = np.repeat(np.diff(np.append(begin, len(rows))) > NEIGHBOURS, np.diff(np.append(begin, len(rows))))
+        for d in range(1, min(NEIGHBOURS, len(rows))):
+            like = (token[d:] == token[:-d]) & (5 * n[:-d] >= 4 * n[d:])
+            if not like.any():
+                break
+            fits = like & ((9 * np.minimum(rest[:-d], rest[d:]) >= 4 * (n[:-d] + n[d:])) | many[d:])
+            keep[d:] |= fits
+            keep[:-d] |= fits
         rows = rows[keep]
         for at in range(0, len(rows), 100_000):
             own = rows[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(own["token"].astype(np.uint64).view(np.int64)), pa.array(own["cls"].astype(np.int64)), pa.array(own["n"].astype(np.int32)), pa.array(own["pos"].astype(np.int32))], ["token", "cls", "n", "pos"])
 
-    return scratch.table(packed.repartitionById(n_shards, F.col("shard")).mapInArrow(run, "token long, cls long, n int, pos int"), "meetings")
+    return scratch.table(scratch.map_arrow(packed.repartitionById(n_shards, F.col("shard")), run, "token long, cls long, n int, pos int"), "meetings")
 
 
-def _set_table(docs: DataFrame, meetings: DataFrame) -> DataFrame:
-    """(cls, members): the sorted shingles of the classes that meet any other."""
+def _set_table(docs: DataFrame, meetings: DataFrame) -> str:
+    """The name of a table (cls, members), bucketed by class: the sorted shingles of the classes
+    that meet any other.  Joins on the class don't move it again."""
     shared = docs.sparkSession.sparkContext.broadcast(scratch.filter_bits(meetings.select("cls"), F.col("cls"), FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,38 +218,48 @@ def _set_table(docs: DataFrame, meetings: DataFrame) -> DataFrame:
                 at = [i for i in np.flatnonzero(scratch.in_filter(shared.value, cls) & (np.diff(bound) > 0)).tolist() if not (cls[i] in seen or seen.add(cls[i]))]
                 yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array([keys[bound[i] : bound[i + 1]].tobytes() for i in at], pa.binary())], ["cls", "members"])
 
-    made = docs.mapInArrow(run, "cls long, members binary")
-    return scratch.table(made.join(meetings.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            cls = batch.column("cls").to_numpy()
+            if len(cls):
+                yield batch.filter(pa.array(np.concatenate([[cls[0] != last], cls[1:] != cls[:-1]])))
+                last = cls[-1]
 
-_PIVOTS = (np.arange(1, 8, dtype=np.uint64) << np.uint64(61)).astype(np.uint64)
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = scratch.map_arrow(scratch.map_arrow(docs, run, "cls long, members binary").repartition(buckets, "cls").sortWithinPartitions("cls"), distinct, "cls long, members binary")
+    name = f"keystrand_sets_{uuid.uuid4().hex}"
+    made.repartition(buckets, "cls").write.bucketBy(buckets, "cls").sortBy("cls").option("path", scratch.new_path(spark, "sets")).saveAsTable(name)
+    return name
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have 100 * intersection >= 80 * union.
-
-    Suffix filter first: pivots cut both into ranges, and the differences of their sizes bound
-    the symmetric difference from below."""
-    total = len(a) + len(b)
-    cuts = np.abs(np.diff(np.searchsorted(a, _PIVOTS), prepend=0, append=len(a)) - np.diff(np.searchsorted(b, _PIVOTS), prepend=0, append=len(b)))
-    if 9 * int(cuts.sum()) > total:
-        return False
+    """Whether two sorted sets have 100 * intersection >= 80 * union."""
     both = np.concatenate([a, b])
     both.sort()
-    return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * total
+    return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * (len(a) + len(b))
+
 
+def _verified(pairs: DataFrame, sets: str) -> DataFrame:
+    """(head, tail, ok) for each candidate pair.
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, ok) for each candidate pair."""
-    with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("members_b")), "b")
-    both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("members_a")), "a").select("a", "b", "members_a", "members_b")
+    Each pair's second set goes to its first; a first with many pairs is dealt over several
+    groups, so a set moves once for each pair or group and none meets them all."""
+    spark = pairs.sparkSession
+    known = spark.table(sets)
+    groups = pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
+    heads = groups.select("head", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt")).join(known.select(F.col("cls").alias("head"), F.col("members").alias("head_members")), "head")
+    salt = F.pmod(F.xxhash64("tail"), F.col("groups")).cast("int").alias("salt")
+    tails = pairs.join(groups, "head").select("head", "tail", salt).join(known.select(F.col("cls").alias("tail"), F.col("members").alias("tail_members")), "tail")
+    both = tails.join(heads, ["head", "salt"]).select("head", "tail", "head_members", "tail_members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["head", "tail", "ok"])
 
-    return scratch.table(both.mapInArrow(run, "a long, b long, ok boolean"), "verified")
+    return scratch.table(scratch.map_arrow(both, run, "head long, tail long, ok boolean"), "verified")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,52 +280,57 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def _fits(n: Column, pos: Column, other_n: Column, other_pos: Column) -> Column:
-    """Length and positional filters for two prefix rows of one shingle."""
-    return (5 * F.least(n, other_n) >= 4 * F.greatest(n, other_n)) & (9 * F.least(n - pos, other_n - other_pos) >= 4 * (n + other_n))
+_SIDE = ("cls", "n", "pos", "comp", *_SIGNS)
+
+
+def _fits() -> Column:
+    """Length, positional and suffix filters for a row and another (o_...) of one shingle, of
+    different components."""
+    n, pos, other_n, other_pos = (F.col(c) for c in ("n", "pos", "o_n", "o_pos"))
+    apart = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"o_{s}"))) for s in _SIGNS), F.lit(0))
+    return (F.col("comp") != F.col("o_comp")) & (5 * F.least(n, other_n) >= 4 * F.greatest(n, other_n)) & (9 * F.least(n - pos, other_n - other_pos) >= 4 * (n + other_n)) & (9 * apart <= n + other_n)
 
 
 def _candidates(rows: DataFrame, leaders: int | None) -> DataFrame:
-    """Distinct pairs (a < b) of different components that meet on a shingle and fit.
+    """Distinct pairs (head, tail) of different components that meet on a shingle and fit.
 
     With ``leaders``, each row is paired with so many rows of its shingle, least in orders that
     are the same for all shingles; without, with every row, but only rows outside the shingle's
     most frequent component look for partners."""
     if leaders:
-        first = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "n", "pos", "comp")) for k in range(leaders)]
-        heads = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array(*first).alias("heads")).where("lo < hi").select("token", "heads")
-        met = rows.join(heads, "token").select("cls", "n", "pos", "comp", F.explode(F.array_distinct("heads")).alias("o")).select("cls", "n", "pos", "comp", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("cls", "n", "pos", "comp")])
+        first = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls")).getField("cls") for k in range(leaders)]
+        heads = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array(*first).alias("heads")).where("lo < hi")
+        chosen = heads.select("token", F.explode(F.array_distinct("heads")).alias("cls")).join(rows, ["token", "cls"])
     else:
         sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
         main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "main")
-        open_ = rows.join(main, "token")
-        minor = open_.where("comp <> main").select("token", *[F.col(c).alias(f"o_{c}") for c in ("cls", "n", "pos", "comp")])
-        met = open_.join(minor, "token")
-    met = met.where((F.col("comp") != F.col("o_comp")) & _fits(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos")))
-    return met.select(F.least("cls", "o_cls").alias("a"), F.greatest("cls", "o_cls").alias("b")).distinct()
+        chosen = rows.join(main, "token").where("comp <> main")
+    other = chosen.select("token", *[F.col(c).alias(f"o_{c}") for c in _SIDE])
+    met = rows.join(other, "token").where(_fits()).select(F.col("o_cls").alias("head"), F.col("cls").alias("tail"))
+    low, high = F.least("head", "tail"), F.greatest("head", "tail")
+    return met.groupBy(low.alias("low"), high.alias("high")).agg(F.min("head").alias("head")).select("head", F.when(F.col("head") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("tail"))
 
 
-def class_components(meetings: DataFrame, sets: DataFrame) -> DataFrame | None:
+def class_components(meetings: DataFrame, signs: DataFrame, sets: str) -> DataFrame | None:
     """(cls, root) of the classes that link with another, or None."""
     roots: DataFrame | None = None
     tried: DataFrame | None = None
-    links: DataFrame | None = None
     for leaders in (*LEADERS, None):
-        rows = meetings
+        rows = meetings.join(signs, "cls")
         if roots is None:
             rows = rows.withColumn("comp", F.col("cls"))
         else:
             rows = rows.join(roots, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
         pairs = _candidates(rows, leaders)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            low, high = F.least("head", "tail"), F.greatest("head", "tail")
+            pairs = pairs.withColumn("low", low).withColumn("high", high).join(tried, ["low", "high"], "left_anti").select("head", "tail")
         found = _verified(scratch.table(pairs, "pairs"), sets)
-        tried = found.select("a", "b") if tried is None else tried.unionAll(found.select("a", "b"))
-        own = found.where("ok").select("a", "b")
-        if own.isEmpty():
-            continue
-        links = own if roots is None else own.unionAll(roots.select(F.col("cls").alias("a"), F.col("root").alias("b")))
-        roots = components(links)
+        done = found.select(F.least("head", "tail").alias("low"), F.greatest("head", "tail").alias("high"))
+        tried = done if tried is None else tried.unionAll(done)
+        own = found.where("ok").select(F.col("head").alias("a"), F.col("tail").alias("b"))
+        if not own.isEmpty():
+            roots = components(own if roots is None else own.unionAll(roots.select(F.col("cls").alias("a"), F.col("root").alias("b"))))
     return roots
 
 
@@ -296,7 +341,11 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     total = survey.where("n > 0").agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
     n_shards = max(12, -(-total * _ROW.itemsize // SHARD_BYTES))
     meetings = _meetings(_prefix_rows(rows.select("text"), sketch, n_shards), sketch, n_shards)
-    return survey, class_components(meetings, _set_table(rows.select("text"), meetings))
+    signs = survey.where("n > 0").join(meetings.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(*[F.min(s).alias(s) for s in _SIGNS])
+    sets = _set_table(rows.select("text"), meetings)
+    roots = class_components(meetings, scratch.table(signs, "signatures"), sets)
+    docs.sparkSession.sql(f"DROP TABLE {sets}")
+    return survey, roots
 
 
 def join(docs: DataFrame) -> DataFrame:

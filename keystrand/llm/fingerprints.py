@@ -84,7 +84,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
         if held is not None:
             yield _batch([(1, part, held[0], *blank, held[1])], names, batch.schema.field(0).type)
 
-    made = scratch.table(ordered.mapInArrow(run, f"f_kind int, f_part int, doc_id {kind.simpleString()}, {_ROW}, text string"), "fingerprints")
+    made = scratch.table(scratch.map_arrow(ordered, run, f"f_kind int, f_part int, doc_id {kind.simpleString()}, {_ROW}, text string"), "fingerprints")
     parts = sorted(r[0] for r in made.where("f_kind = 2").select("f_part").collect())
     follows = [(p, parts[(k + 1) % len(parts)]) for k, p in enumerate(parts)]
     spark = docs.sparkSession
@@ -101,7 +101,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
             yield _batch(out, names[2:-1], batch.schema.field(0).type)
 
     done = made.where("f_kind = 0").select(*names[2:-1])
-    return done.unionByName(pairs.mapInArrow(ends, f"doc_id {kind.simpleString()}, {_ROW}"))
+    return done.unionByName(scratch.map_arrow(pairs, ends, f"doc_id {kind.simpleString()}, {_ROW}"))
 
 
 _TYPES = {"f_kind": pa.int32(), "f_part": pa.int32(), "n_chars": pa.int64(), "f_check": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
@@ -136,11 +136,11 @@ def collisions(docs: DataFrame, marks: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scratch.in_filter(shared.value, batch.column("hash").to_numpy())))
 
-    made = rows.mapInArrow(marked, "fingerprint string, f_check long, canon string").withColumn("hash", F.xxhash64("fingerprint"))
-    twins = made.mapInArrow(hit, "fingerprint string, f_check long, canon string, hash long").drop("hash")
+    made = scratch.map_arrow(rows, marked, "fingerprint string, f_check long, canon string").withColumn("hash", F.xxhash64("fingerprint"))
+    twins = scratch.map_arrow(made, hit, "fingerprint string, f_check long, canon string, hash long").drop("hash")
     salted = twins.withColumn("salt", F.floor(F.rand(5) * SALTS).cast("int"))
     for keys in (["fingerprint", "salt"], ["fingerprint"]):
-        salted = salted.repartition(*keys).sortWithinPartitions("fingerprint", "salt").mapInArrow(_distinct, salted.schema)
+        salted = scratch.map_arrow(salted.repartition(*keys).sortWithinPartitions("fingerprint", "salt"), _distinct, salted.schema)
     found = scratch.table(salted.where("salt < 0").select("fingerprint", "f_check").distinct(), "collisions")
     rank = F.row_number().over(Window.partitionBy("fingerprint").orderBy("f_check"))
     return found.withColumn("suffix", F.concat(F.lit("-"), rank.cast("string")))

@@ -109,7 +109,7 @@ def stats_table(docs: DataFrame) -> DataFrame:
                 slot += n
 
     rows = docs.select("doc_id", group_key(F.col("lang"), F.col("source")).alias("g"), F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(run, f"doc_id {kind}, g string, {', '.join(f'{n} long' for n in _BASE)}, base_failed boolean, x array<double>, slot long")
+    made = scratch.map_arrow(rows, run, f"doc_id {kind}, g string, {', '.join(f'{n} long' for n in _BASE)}, base_failed boolean, x array<double>, slot long")
     return scratch.table(made.withColumn("part", F.spark_partition_id()), "statistics")
 
 
@@ -150,7 +150,7 @@ def _models(totals: DataFrame) -> DataFrame:
             out = [rest if t[0] < LEAST * SHARE else np.concatenate([(e := _estimate(t))[0], _inverse(e[1]).ravel()]) for t in total]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["g", "m"])
 
-    return scratch.table(totals.select("g", "total").mapInArrow(run, "g string, m array<double>"), "models")
+    return scratch.table(scratch.map_arrow(totals.select("g", "total"), run, "g string, m array<double>"), "models")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def estimates(rows: DataFrame) -> DataFrame:
                     out[at] = _bin(d)
                 yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(out)], ["g", "bin"])
 
-        near = rows.join(models, "g").select("g", "x", "m").mapInArrow(bins, "g string, bin int").groupBy("g", "bin").count()
+        near = scratch.map_arrow(rows.join(models, "g").select("g", "x", "m"), bins, "g string, bin int").groupBy("g", "bin").count()
         running = "sum(count) over (partition by g order by bin)"
         edge = near.selectExpr("g", "bin", f"{running} as below", "sum(count) over (partition by g) as n").where(F.col("below") >= F.lit(SHARE) * F.col("n")).groupBy("g").agg(F.min("bin").alias("edge"))
 
@@ -191,7 +191,7 @@ def estimates(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.list_(pa.float64()))], ["g", "v"])
 
         limited = scratch.table(models.join(edge, "g"), "edges")
-        models = _models(_totals(rows.join(limited, "g").select("g", "x", "m", "edge").mapInArrow(inner, "g string, v array<double>")))
+        models = _models(_totals(scratch.map_arrow(rows.join(limited, "g").select("g", "x", "m", "edge"), inner, "g string, v array<double>")))
     return models
 
 
@@ -215,7 +215,7 @@ def judge(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", *_BASE, "base_failed")), pa.array(d <= CUTOFF), pa.array(d)], ["doc_id", *_BASE, "base_failed", "kept", "distance"])
 
     schema = f"doc_id {kind}, {', '.join(f'{n} long' for n in _BASE)}, base_failed boolean, kept boolean, distance double"
-    judged = table.where("not base_failed").join(models, "g").select("doc_id", *_BASE, "base_failed", "g", "x", "m").mapInArrow(run, schema)
+    judged = scratch.map_arrow(table.where("not base_failed").join(models, "g").select("doc_id", *_BASE, "base_failed", "g", "x", "m"), run, schema)
     failed = table.where("base_failed").select("doc_id", *_BASE, "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return judged.unionByName(failed)
 
@@ -239,4 +239,4 @@ def keep_normal(docs: DataFrame) -> DataFrame:
                 part = part.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(part.columns[: len(names)], names)
 
-    return rows.join(models, "q_g").select(*[f"k{i}" for i in range(len(names))], "q_g", "q_m").mapInArrow(run, docs.schema)
+    return scratch.map_arrow(rows.join(models, "q_g").select(*[f"k{i}" for i in range(len(names))], "q_g", "q_m"), run, docs.schema)

@@ -41,7 +41,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "x"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return scratch.table(rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>"), "features")
+    return scratch.table(scratch.map_arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>"), "features")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -90,7 +90,7 @@ def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total.ravel())], ["at", "v"])
 
     out = np.zeros(2 * width)
-    for at, v in rows.select("y", "x").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v")).collect():
+    for at, v in scratch.map_arrow(rows.select("y", "x"), run, "at int, v double").groupBy("at").agg(F.sum("v")).collect():
         out[at] = v
     out = out.reshape(2, width)
     return out[:, 0], out[:, 1 : 1 + D], out[:, 1 + D :].reshape(2, D, D)
@@ -115,7 +115,7 @@ def fit(rows: DataFrame) -> Discriminant:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(model.evidence(_matrix(batch.column(1))) * 20).astype(np.int32))], ["y", "bin"])
 
-    bins = rows.select("y", "x").mapInArrow(run, "y int, bin int").groupBy("y", "bin").count().collect()
+    bins = scratch.map_arrow(rows.select("y", "x"), run, "y int, bin int").groupBy("y", "bin").count().collect()
     y, e, w = (np.array(c, float) for c in zip(*bins))
     model.slope, model.shift = logistic(e / 20, y, w)
     return model
@@ -152,7 +152,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return table.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "x").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return scratch.map_arrow(table.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "x"), run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,4 +169,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for part in T.slices(batch, "text", 1 << 20):
                 yield part.filter(pa.array(model.score(stats.features(stats.statistics(part.column("text")))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return scratch.map_arrow(docs, run, docs.schema)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 _PRE = re.compile(" *[^ \n]+|\n| +")
 #: Pre-tokens a process keeps; it starts afresh when there are more.
 _CACHE = 500_000
@@ -107,4 +109,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["doc_id", "n_tokens", "n_pre_tokens"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_pre_tokens long")
+    return scratch.map_arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_pre_tokens long")

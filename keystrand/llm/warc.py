@@ -183,7 +183,7 @@ def write(pages: DataFrame, least: int = 0, most_bytes: int = ARCHIVE_BYTES) ->
             done.append((name, n))
         yield pa.RecordBatch.from_arrays([pa.array([f"{target}/{x[0]}" for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], ["archive", "records"])
 
-    return scratch.table(rows.mapInArrow(run, "archive string, records long"), "manifest")
+    return scratch.table(scratch.map_arrow(rows, run, "archive string, records long"), "manifest")
 
 
 _INDEX = "archive string, at long, url_key string, captured string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -208,7 +208,7 @@ def index_runs(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     files = max(1, manifest.count())
-    return scratch.table(manifest.repartition(files, "archive").mapInArrow(run, _INDEX), "captures")
+    return scratch.table(scratch.map_arrow(manifest.repartition(files, "archive"), run, _INDEX), "captures")
 
 
 def merge(runs: DataFrame) -> DataFrame:
@@ -219,7 +219,8 @@ def merge(runs: DataFrame) -> DataFrame:
     key = ["url_key", "captured", F.col("page_id").asc_nulls_last(), "archive", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema) if (batches := list(batches)) and (schema := batches[0].schema) else None
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else None
         if table is None or not table.num_rows:
             return
         archive, at, url, date, page = (table.column(n).to_pylist() for n in ("archive", "at", "url_key", "captured", "page_id"))
@@ -228,7 +229,7 @@ def merge(runs: DataFrame) -> DataFrame:
         order = [edges[r] + i for r, i in LoserTree([keys[a:b] for a, b in zip(edges, edges[1:])])]
         yield from table.take(pa.array(order, pa.int64())).combine_chunks().to_batches(10_000)
 
-    return runs.repartitionByRange(*key).sortWithinPartitions("archive", *key[:3], "at").mapInArrow(run, runs.schema)
+    return scratch.map_arrow(runs.repartitionByRange(*key).sortWithinPartitions("archive", *key[:3], "at"), run, runs.schema)
 
 
 def captures(pages: DataFrame) -> DataFrame:

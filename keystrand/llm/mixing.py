@@ -21,9 +21,14 @@ from pyspark.sql import types as T
 from . import scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_BITS = 8
-LEVELS = 3
-BROADCAST_ROWS = 200_000
+#: A source's permuted order is searched in so many steps of so many bits.
+LEVELS, LEVEL_BITS = 3, 8
+#: Blocks of a source: 2^8, and up to 2^16 where there are many shards.
+BLOCK_BITS = (8, 16)
+#: Words of a shard, and shards at least.
+SHARD_WORDS, LEAST_SHARDS = 50_000_000, 16
+#: Sides of so many rows or blocks (a few MB) at most are broadcast; larger ones are joined.
+BROADCAST_ROWS, BROADCAST_BLOCKS = 200_000, 2_000_000
 
 
 @dataclass
@@ -37,8 +42,9 @@ class Source:
     passes: int = 0
     #: Rows whose permuted place is below this are in the partial pass.
     below: int = 0
-    #: For each pass, a shard for each block.
+    #: For each pass, a shard for each of 2^bits blocks.
     shards: list[list[int]] = field(default_factory=list)
+    bits: int = BLOCK_BITS[0]
 
 
 def water_fill(sizes: list[int], weights: list[float], most: float) -> list[float]:
@@ -94,7 +100,7 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
                        place(seed).alias("place"))
 
 
-def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, n_shards: int = 16, seed: int = 1) -> list[Source]:
+def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, n_shards: int | None = None, seed: int = 1) -> list[Source]:
     """The mix of ``rows`` (from :func:`sized`).  The driver holds a few numbers per source.
 
     Sources in order of code points, null last, weigh ``weights``, repeating.  A source's
@@ -110,16 +116,16 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     prefix = {n: 0 for n in left}
     bits = 62
     for _ in range(LEVELS):
-        bits -= BLOCK_BITS
+        bits -= LEVEL_BITS
         if not prefix:
             break
         at = rows.sparkSession.createDataFrame([(n, v) for n, v in prefix.items()], "name string, prefix long")
-        part = rows.join(F.broadcast(at) if len(prefix) * 50 < BROADCAST_ROWS else at, F.col("source").eqNullSafe(F.col("name")))
+        part = rows.join(F.broadcast(at) if len(prefix) <= BROADCAST_ROWS else at, F.col("source").eqNullSafe(F.col("name")))
         bins: dict[str | None, list[tuple[int, int]]] = {}
-        for n, b, v in part.where(F.shiftright("place", bits + BLOCK_BITS) == F.col("prefix")).groupBy("name", F.shiftright("place", bits).alias("bin")).agg(F.sum("size")).collect():
+        for n, b, v in part.where(F.shiftright("place", bits + LEVEL_BITS) == F.col("prefix")).groupBy("name", F.shiftright("place", bits).alias("bin")).agg(F.sum("size")).collect():
             bins.setdefault(n, []).append((int(b), int(v)))
         for n in prefix:
-            edge = (prefix[n] + 1) << BLOCK_BITS
+            edge = (prefix[n] + 1) << LEVEL_BITS
             for b, v in sorted(bins.get(n, [])):
                 if v > left[n]:
                     edge = b
@@ -133,40 +139,52 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
         if s.name in prefix:
             last = dict(ends.get(s.name, [])).get(prefix[s.name], 0)
             s.below = (prefix[s.name] + (2 * left[s.name] > last > 0)) << bits
-    _deal(sources, n_shards, seed)
+    _deal(sources, n_shards or shards_for(sum(sums.values())), seed)
     return sources
 
 
+def shards_for(total: int) -> int:
+    """Shards for a mix of so many words."""
+    return max(LEAST_SHARDS, -(-total // SHARD_WORDS))
+
+
+def _block_bits(n_shards: int) -> int:
+    """So many blocks that a source has four for each shard, within bounds."""
+    return min(BLOCK_BITS[1], max(BLOCK_BITS[0], (4 * n_shards - 1).bit_length()))
+
+
 def _deal(sources: list[Source], n_shards: int, seed: int) -> None:
-    n = 1 << BLOCK_BITS
-    draws = [n * s.passes + -(-s.below // (1 << (62 - BLOCK_BITS))) for s in sources]
+    bits = _block_bits(n_shards) if n_shards > 64 else BLOCK_BITS[0]
+    n = 1 << bits
+    draws = [n * s.passes + -(-s.below // (1 << (62 - bits))) for s in sources]
     quotas = split_quotas(draws, n_shards, seed) if sources else np.zeros((n_shards, 0), np.int64)
     for i, s in enumerate(sources):
         owner = np.repeat(np.arange(n_shards), quotas[:, i])
         shard = np.empty(draws[i], np.int64)
         shard[np.random.default_rng([seed, i]).permutation(draws[i])] = owner
-        s.shards = [shard[k : k + n].tolist() for k in range(0, draws[i], n)]
+        s.shards, s.bits = [shard[k : k + n].tolist() for k in range(0, draws[i], n)], bits
 
 
 def _table(spark: SparkSession, sources: list[Source]) -> DataFrame:
-    kind = T.StructType([T.StructField("m_source", T.StringType()), T.StructField("m_source_size", T.LongType()), T.StructField("m_target", T.DoubleType()), T.StructField("m_passes", T.IntegerType()), T.StructField("m_below", T.LongType()), T.StructField("m_shards", T.ArrayType(T.ArrayType(T.IntegerType())))])
-    at = spark.createDataFrame([(s.name, s.size, s.target, s.passes, s.below, s.shards) for s in sources], kind)
-    return F.broadcast(at) if len(sources) << BLOCK_BITS <= BROADCAST_ROWS else at
+    kind = T.StructType([T.StructField("m_source", T.StringType()), T.StructField("m_source_size", T.LongType()), T.StructField("m_target", T.DoubleType()), T.StructField("m_passes", T.IntegerType()), T.StructField("m_below", T.LongType()), T.StructField("m_shards", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("m_bits", T.IntegerType())])
+    at = spark.createDataFrame([(s.name, s.size, s.target, s.passes, s.below, s.shards, s.bits) for s in sources], kind)
+    return F.broadcast(at) if sum(map(len, (p for s in sources for p in s.shards))) <= BROADCAST_BLOCKS else at
 
 
 def with_plan(rows: DataFrame, sources: list[Source]) -> DataFrame:
     """Adds m_copies and m_shard_list (a shard for each copy) to rows that have source and place."""
     at = rows.join(_table(rows.sparkSession, sources), F.col("source").eqNullSafe(F.col("m_source")))
     copies = F.col("m_passes") + F.when(F.col("place") < F.col("m_below"), 1).otherwise(0)
-    block = F.shiftright("place", 62 - BLOCK_BITS).cast("int")
+    block = F.call_function("shiftright", F.col("place"), F.lit(62) - F.col("m_bits")).cast("int")
     return at.withColumn("m_copies", copies).withColumn("m_shard_list", F.transform(F.slice("m_shards", F.lit(1), copies), lambda p: F.get(p, block)))
 
 
-def mix(docs: DataFrame, n_shards: int = 16, seed: int = 1, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, shuffle: bool = True) -> DataFrame:
+def mix(docs: DataFrame, n_shards: int | None = None, seed: int = 1, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, shuffle: bool = True) -> DataFrame:
     """The mixed rows: every column of ``docs``, once per copy; with ``shuffle``, written shard by
     shard in a local random order.  Rows of a source whose words are all in other passes go."""
     names = docs.columns
     sources = plan(scratch.table(sized(docs, seed), "mix-sizes"), weights, most, n_shards, seed)
+    n_shards = n_shards or shards_for(sum(s.size for s in sources))
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(names)]
     rows = docs.select(*kept, F.col("source").cast("string").alias("source"), place(seed).alias("place"))
     out = with_plan(rows, sources).select(*[f"k{i}" for i in range(len(names))], "place", F.explode("m_shard_list").alias("shard"))
@@ -175,7 +193,7 @@ def mix(docs: DataFrame, n_shards: int = 16, seed: int = 1, weights: tuple[float
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])
 
 
-def mixture(docs: DataFrame, n_shards: int = 16, seed: int = 1) -> DataFrame:
+def mixture(docs: DataFrame, n_shards: int | None = None, seed: int = 1) -> DataFrame:
     """Query op1: one row per row of ``docs`` with what the mix takes of it.
 
     doc_id, size, source_size, target, taken, and shards (one per copy).  Null and empty texts

@@ -31,7 +31,7 @@ SHARE = 0.75
 #: Squared distances over this are outliers (11 degrees of freedom: about 1e-8 if normal).
 CUTOFF = 60.0
 BLOCK = 500
-#: Groups of fewer rows are judged by the estimate of all rows.
+#: Groups of fewer rows are judged by the estimate of their language, or of all rows.
 LEAST = 10 * D
 STEPS = 2
 #: Squared distances are counted in bins of 1/BINS of a natural logarithm.
@@ -138,19 +138,24 @@ def _totals(parts: DataFrame) -> DataFrame:
 
 
 def _models(totals: DataFrame) -> DataFrame:
-    """(g, n, m): mean and inverse scatter of each group; of few rows, those of all rows."""
-    everything = totals.withColumn("g", F.lit("*"))
-    whole = _totals(everything.withColumnRenamed("total", "v")).select("total").collect()
-    mean, cov = _estimate(np.asarray(whole[0][0]) if whole else np.zeros(1 + D + D * D))
-    rest = np.concatenate([mean, _inverse(cov).ravel()])
+    """(g, m): mean and inverse scatter of each group; of few rows, those of its language, and of
+    few rows in that, those of all rows."""
+    lang = F.coalesce(F.get_json_object("g", "$.l"), F.lit(""))
+    shared = _totals(totals.select(lang.alias("g"), F.col("total").alias("v"))).select(F.col("g").alias("l"), F.col("total").alias("l_total"))
+    whole = _totals(totals.select(F.lit("*").alias("g"), F.col("total").alias("v"))).select("total").collect()
+    everything = np.asarray(whole[0][0]) if whole else np.zeros(1 + D + D * D)
+    width = 1 + D + D * D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = _matrix(batch.column(1), 1 + D + D * D)
-            out = [rest if t[0] < LEAST * SHARE else np.concatenate([(e := _estimate(t))[0], _inverse(e[1]).ravel()]) for t in total]
+            out = []
+            for own, language in zip(_matrix(batch.column(1), width), _matrix(batch.column(2), width)):
+                mean, cov = _estimate(next((t for t in (own, language) if t[0] >= LEAST * SHARE), everything))
+                out.append(np.concatenate([mean, _inverse(cov).ravel()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["g", "m"])
 
-    return scratch.table(scratch.map_arrow(totals.select("g", "total"), run, "g string, m array<double>"), "models")
+    rows = totals.select("g", "total", lang.alias("l")).join(shared, "l").select("g", "total", "l_total")
+    return scratch.table(scratch.map_arrow(rows, run, "g string, m array<double>"), "models")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -201,7 +206,7 @@ def judge(docs: DataFrame) -> DataFrame:
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
     distance (squared; null where the base rules fail).  Null texts have no words and fail;
     null languages or sources make groups of their own; repeated rows are judged each; a group
-    of few rows is judged by the estimate of all; an empty table gives no rows.
+    of few rows is judged by the estimate of its language or of all; an empty table gives no rows.
     """
     table = stats_table(docs)
     models = estimates(table.where("not base_failed").select("g", "x", "part", "slot"))

@@ -6,9 +6,9 @@ Jaccard similarity 0.8 or more share a shingle in their prefixes of n/5 + 1 shin
 meet on one are candidates where length, position and suffix allow it, and a
 candidate pair is verified once, on whole sets.
 
-Only components matter, so pairs are tried in rounds: first with a few leaders of each prefix
-shingle, then, wherever a shingle still joins different components, with more, and in the last
-round every pair across components that is left.  No link between components is lost, and a large
+Only components matter, so pairs are tried in rounds: first a few prefix shingles of each class
+with two leaders each, then, wherever a shingle still joins different components, all rows with
+more leaders, and in the last round every pair across components that is left.  No link between components is lost, and a large
 group of near copies never emits all its pairs.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -30,7 +30,9 @@ SKETCH_BITS = 20
 SLICES = 16
 #: A prefix shingle with more rows than this (by the sketch) is dealt over several shards.
 HOT = 1 << 16
-SHARD_BYTES = 16 << 20
+#: Packed prefix rows of a shard: the first for small inputs, the second once there are 1,024 shards.
+SHARD_BYTES = (16 << 20, 512 << 20)
+FLUSH_BYTES = 32 << 20
 FILTER_BITS = 26
 #: The suffix filter cuts hash space into so many ranges, of whose sizes it keeps the parities.
 RANGE_BITS = 9
@@ -40,6 +42,8 @@ _SIGNS = [f"s{i}" for i in range(_SIGN)]
 NEIGHBOURS = 64
 #: Pairs of one leader that are verified in one group.
 GROUP = 200
+#: In the first round, so many prefix rows of each class are looked at.
+FEW = 4
 #: Leaders per prefix shingle in each round but the last.
 LEADERS = (2, 8)
 
@@ -148,7 +152,7 @@ def _prefix_rows(docs: DataFrame, sketch: np.ndarray, n_shards: int) -> DataFram
                     out["token"], out["cls"], out["n"], out["pos"] = keys[order], c, n, np.arange(len(order))
                     held.append(out)
                     size += out.nbytes
-                if size > 2 * SHARD_BYTES:
+                if size > FLUSH_BYTES:
                     yield _dealt(np.concatenate(held), counts, n_shards)
                     held, size = [], 0
         if held:
@@ -230,7 +234,7 @@ def _set_table(docs: DataFrame, meetings: DataFrame) -> str:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = scratch.map_arrow(scratch.map_arrow(docs, run, "cls long, members binary").repartition(buckets, "cls").sortWithinPartitions("cls"), distinct, "cls long, members binary")
     name = f"keystrand_sets_{uuid.uuid4().hex}"
-    made.repartition(buckets, "cls").write.bucketBy(buckets, "cls").sortBy("cls").option("path", scratch.new_path(spark, "sets")).saveAsTable(name)
+    made.write.bucketBy(buckets, "cls").sortBy("cls").option("path", scratch.new_path(spark, "sets")).saveAsTable(name)
     return name
 
 
@@ -311,17 +315,30 @@ def _candidates(rows: DataFrame, leaders: int | None) -> DataFrame:
     return met.groupBy(low.alias("low"), high.alias("high")).agg(F.min("head").alias("head")).select("head", F.when(F.col("head") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("tail"))
 
 
+def _open(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The rows, with their component, of shingles that still join several components."""
+    if roots is None:
+        rows = rows.withColumn("comp", F.col("cls"))
+    else:
+        rows = rows.join(roots, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return scratch.table(rows.join(mixed, "token", "left_semi"), "open")
+
+
 def class_components(meetings: DataFrame, signs: DataFrame, sets: str) -> DataFrame | None:
-    """(cls, root) of the classes that link with another, or None."""
+    """(cls, root) of the classes that link with another, or None.
+
+    The first round looks at a few rows of each class, which unites most groups; the others at all
+    rows of shingles that still join different components."""
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("pos", "token"))
+    rows = meetings.withColumn("rank", rank).where(F.col("rank") <= FEW).drop("rank")
     roots: DataFrame | None = None
     tried: DataFrame | None = None
-    for leaders in (*LEADERS, None):
-        rows = meetings.join(signs, "cls")
-        if roots is None:
-            rows = rows.withColumn("comp", F.col("cls"))
-        else:
-            rows = rows.join(roots, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-        pairs = _candidates(rows, leaders)
+    for k, leaders in enumerate((*LEADERS, None)):
+        if k == 1:
+            rows = meetings
+        rows = _open(rows, roots)
+        pairs = _candidates(rows.join(signs, "cls"), leaders)
         if tried is not None:
             low, high = F.least("head", "tail"), F.greatest("head", "tail")
             pairs = pairs.withColumn("low", low).withColumn("high", high).join(tried, ["low", "high"], "left_anti").select("head", "tail")
@@ -331,6 +348,7 @@ def class_components(meetings: DataFrame, signs: DataFrame, sets: str) -> DataFr
         own = found.where("ok").select(F.col("head").alias("a"), F.col("tail").alias("b"))
         if not own.isEmpty():
             roots = components(own if roots is None else own.unionAll(roots.select(F.col("cls").alias("a"), F.col("root").alias("b"))))
+        rows = rows.drop("comp")
     return roots
 
 
@@ -339,7 +357,8 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     survey, sketch = _survey(rows)
     total = survey.where("n > 0").agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
-    n_shards = max(12, -(-total * _ROW.itemsize // SHARD_BYTES))
+    size = total * _ROW.itemsize
+    n_shards = max(12, min(-(-size // SHARD_BYTES[0]), max(1024, -(-size // SHARD_BYTES[1]))))
     meetings = _meetings(_prefix_rows(rows.select("text"), sketch, n_shards), sketch, n_shards)
     signs = survey.where("n > 0").join(meetings.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(*[F.min(s).alias(s) for s in _SIGNS])
     sets = _set_table(rows.select("text"), meetings)

@@ -28,7 +28,8 @@ from . import text as T
 
 ORDER = 5
 CHUNK_BYTES = 32 << 20
-SHARD_TEXT_BYTES = 32 << 20
+#: Text for each shard of the trie: the first for small inputs, the second once there are 256 shards.
+SHARD_TEXT_BYTES = (32 << 20, 2 << 30)
 _END = 0xFF
 _END_WORD = np.uint64(1)
 _GRAM, _WORD, _LOW, _SUMS, _GRAM_VALUE, _WORD_VALUE, _DOC = range(7)
@@ -167,7 +168,7 @@ def _gather(docs: DataFrame, n_shards: int) -> DataFrame:
         if size:
             yield from close()
 
-    return scratch.table(docs.mapInArrow(run, f"{_PACK}, doc_id {kind.simpleString()}, train boolean, text string"), "chunks")
+    return scratch.table(scratch.map_arrow(docs, run, f"{_PACK}, doc_id {kind.simpleString()}, train boolean, text string"), "chunks")
 
 
 class Level:
@@ -266,7 +267,7 @@ def _answers(packs: DataFrame, low: list[Level], n_shards: int) -> DataFrame:
                 answer = _GRAM_VALUE if kind == _GRAM else _WORD_VALUE
                 yield _rows([(chunk, answer, shard, None, values[np.searchsorted(keys, k)].tobytes()) for chunk, shard, k, _ in parts[at : at + 64]], names, types)
 
-    return scratch.table(packs.repartitionById(n_shards, F.col("shard")).mapInArrow(run, _PACK), "answers")
+    return scratch.table(scratch.map_arrow(packs.repartitionById(n_shards, F.col("shard")), run, _PACK), "answers")
 
 
 def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -282,7 +283,7 @@ def _low_counts(packs: DataFrame, n_shards: int) -> tuple[np.ndarray, np.ndarray
             keys, counts = _merge([keys, *map(_keys, batch.column(3))], [counts, *map(_chunk_counts, batch.column(4))])
         yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["keys", "vals"])
 
-    got = packs.repartitionById(min(n_shards, 64), F.col("shard")).mapInArrow(run, "keys binary, vals binary").collect()
+    got = scratch.map_arrow(packs.repartitionById(min(n_shards, 64), F.col("shard")), run, "keys binary, vals binary").collect()
     return _merge([np.frombuffer(r[0], np.uint64) for r in got], [np.frombuffer(r[1], np.uint64) for r in got])
 
 
@@ -297,7 +298,7 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", (~is_held_out(F.col("doc_id"))).alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = max(12, -(-total // SHARD_TEXT_BYTES))
+    n_shards = max(12, min(-(-total // SHARD_TEXT_BYTES[0]), max(256, -(-total // SHARD_TEXT_BYTES[1]))))
     made = _gather(rows, n_shards)
     low = low_levels(*_low_counts(made.where(F.col("kind") == _LOW).select("chunk", "kind", "shard", "keys", "vals"), n_shards))
     answers = _answers(made.where(F.col("kind").isin(_GRAM, _WORD)).select("chunk", "kind", "shard", "keys", "vals"), low, n_shards)
@@ -305,7 +306,8 @@ def score(docs: DataFrame) -> DataFrame:
     train_tokens, distinct = (int(sum(int(s[k]) for s in sums)) for k in (0, 1))
     texts = made.where(F.col("kind").isin(_GRAM, _WORD, _DOC)).select("chunk", "kind", "shard", F.when(F.col("kind") != _DOC, F.col("keys")).alias("keys"), F.lit(None).cast("binary").alias("vals"), "doc_id", "train", "text")
     back = answers.where(F.col("kind") != _SUMS).select("chunk", "kind", "shard", "keys", "vals", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("string").alias("text"))
-    n_chunks = max(12, -(-total // CHUNK_BYTES))
+    part = F.shiftright("chunk", 24).cast("int")  # the input partition whose chunks these are
+    n_parts = (texts.agg(F.max(part)).first()[0] or 0) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, dict[int, np.ndarray]] = {}
@@ -336,5 +338,5 @@ def score(docs: DataFrame) -> DataFrame:
                     known = np.add.reduceat((c > 0).astype(np.int64), first[:-1])
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(~part.column("train").to_numpy(zero_copy_only=False).astype(bool)), pa.array(n_tokens), pa.array(known), pa.array(np.full(len(known), train_tokens)), pa.array(base), pa.array(logs)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    dealt = texts.unionAll(back).repartition(int(n_chunks), "chunk").sortWithinPartitions("chunk", "kind")
-    return dealt.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    dealt = texts.unionAll(back).repartitionById(n_parts, part).sortWithinPartitions("chunk", "kind")
+    return scratch.map_arrow(dealt, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

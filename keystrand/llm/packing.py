@@ -177,7 +177,8 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) ->
                 del present[k]
             return at
 
-        for times, config in configurations(sizes, demand, capacity):
+        # configurations with the longest pieces first, so that those still find their partners
+        for times, config in sorted(configurations(sizes, demand, capacity), key=lambda c: c[1][::-1].tolist(), reverse=True):
             slots = np.repeat(sizes, config)[::-1].tolist()
             for _ in range(times):
                 left = capacity
@@ -186,6 +187,9 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) ->
                     if at >= 0:
                         out[at] = bins
                         left -= int(lengths[at])
+                while (at := take(left)) >= 0:  # room that rounding has hidden
+                    out[at] = bins
+                    left -= int(lengths[at])
                 if left < capacity:
                     give(bins, left)
                     bins += 1

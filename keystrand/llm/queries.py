@@ -66,4 +66,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_lm_scoring, op3_quality_classifier, op4_token_counts, op5_ngram_jaccard, op6_quality_rules, op7_fingerprints, op8_license_scan, op9_packing, op10_warc)
 }
-ORACLE_SQL: dict[str, str] = {"op10_warc": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard": jaccard.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,13 +83,17 @@ def split_by_bytes(log: DataFrame, target: int, slices: int = 64) -> DataFrame:
     return placed.drop("_part", "_at", "_bytes", "_offset")
 
 
-def freeze_points(sizes: DataFrame, limit: int, group: list[str] | None = None) -> DataFrame:
+def freeze_points(sizes: DataFrame, limit: int, group: list[str] | None = None, slices: int | None = None) -> DataFrame:
     """Where a buffer that takes rows (seq, bytes) in order is frozen: its size has reached the
-    limit after a row, and starts again at zero.
-
-    A fold over the rows of each group, for bounded groups (a batch, a shard of the log)."""
-    keys = group or []
-    rows = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "bytes"))).alias("rows"))
+    limit after a row, and starts again at zero.  Sizes aren't negative or null.
+
+    With ``group``, a fold over the rows of each group, for bounded groups (a batch, a shard of the
+    log).  Without, rows are dealt by range of seq, each range tells what size it ends with for any
+    size it may begin with, and the driver carries the size from range to range; no task sees all
+    rows.  ``slices``: the number of ranges; Spark's own if None."""
+    if not group:
+        return _freeze_points_by_range(sizes, limit, slices)
+    rows = sizes.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("seq", "bytes"))).alias("rows"))
     zero = F.expr("named_struct('size', cast(0 as long), 'out', cast(array() as array<struct<seq:bigint,size:bigint>>))")
 
     def step(acc: Column, r: Column) -> Column:
@@ -95,5 +101,65 @@ def freeze_points(sizes: DataFrame, limit: int, group: list[str] | None = None)
         full = size >= limit
         return F.struct(F.when(full, F.lit(0).cast("long")).otherwise(size).alias("size"), F.when(full, F.concat(acc["out"], F.array(F.struct(r["seq"].cast("long").alias("seq"), size.cast("long").alias("size"))))).otherwise(acc["out"]).alias("out"))
 
-    out = rows.select(*keys, F.explode(F.aggregate("rows", zero, step, lambda acc: acc["out"])).alias("f"))
-    return out.select(*keys, F.col("f.seq").alias("seq"), F.col("f.size").alias("size"))
+    out = rows.select(*group, F.explode(F.aggregate("rows", zero, step, lambda acc: acc["out"])).alias("f"))
+    return out.select(*group, F.col("f.seq").alias("seq"), F.col("f.size").alias("size"))
+
+
+def _freeze_points_by_range(sizes: DataFrame, limit: int, slices: int | None) -> DataFrame:
+    from keystrand.operators.versions import stage
+
+    rows = sizes.select(F.col("seq").cast("long").alias("seq"), F.col("bytes").cast("long").alias("bytes"))
+    dealt = rows.repartitionByRange(slices, "seq") if slices else rows.repartitionByRange("seq")
+    staged = stage(dealt.withColumn("_part", F.spark_partition_id()))
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        total, after = _range_ends(pdf.sort_values(["seq", "bytes"])["bytes"].to_numpy(), limit)
+        return pd.DataFrame({"_part": [pdf["_part"].iloc[0]], "total": [total], "reached": [[a for a, _ in after]], "size": [[b for _, b in after]]})
+
+    told = staged.groupBy("_part").applyInPandas(ends, "_part int, total long, reached array<long>, size array<long>").collect()
+    begins, size = [], 0
+    for r in sorted(told, key=lambda r: r["_part"]):
+        begins.append((r["_part"], size))
+        k = int(np.searchsorted(r["reached"], limit - size))
+        size = r["size"][k] if k < len(r["reached"]) else size + r["total"]
+    table = sizes.sparkSession.createDataFrame(begins, "_part int, _begin long")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["seq", "bytes"])
+        at, full = _frozen(pdf["bytes"].to_numpy(), limit, int(pdf["_begin"].iloc[0]))
+        return pd.DataFrame({"seq": pdf["seq"].to_numpy()[at], "size": full})
+
+    return staged.join(table, "_part").groupBy("_part").applyInPandas(fold, "seq long, size long")
+
+
+def _frozen(sizes: np.ndarray, limit: int, begin: int) -> tuple[list[int], list[int]]:
+    """Rows after which a buffer that has ``begin`` bytes is frozen, and its sizes there."""
+    sums = np.cumsum(sizes)
+    at, full, base, k = [], [], -begin, 0
+    while (k := max(int(np.searchsorted(sums, base + limit)), k)) < len(sums):
+        at.append(k), full.append(int(sums[k]) - base)
+        base, k = int(sums[k]), k + 1
+    return at, full
+
+
+def _range_ends(sizes: np.ndarray, limit: int) -> tuple[int, list[tuple[int, int]]]:
+    """The sum of sizes, and (bytes, end) pairs in order: a buffer that lacks up to so many bytes
+    (and more than the pair before) to the limit ends with that size.  One that lacks more than
+    the last pair says is never frozen.
+
+    Buffers frozen after the same row go on alike, so there is a pair for each row that may be the
+    first one, fewer where neighbours end alike."""
+    n, sums = len(sizes), np.cumsum(sizes)
+    onward = np.maximum(np.searchsorted(sums, sums + limit), np.arange(1, n + 1))
+    last = np.where(onward < n, onward, np.arange(n))  # of the rows that a buffer frozen after a row is frozen at, by doubling
+    while (last[last] != last).any():
+        last = last[last]
+    first = int(np.searchsorted(sums, limit)) + 1  # a buffer lacks the limit at most
+    pairs: list[tuple[int, int]] = []
+    for reached, end in zip(sums[:first].tolist(), (sums[-1] - sums[last[:first]]).tolist()):
+        if pairs and pairs[-1][0] == reached:
+            continue  # a row without bytes: the buffer was frozen before it
+        if pairs and pairs[-1][1] == end:
+            pairs.pop()
+        pairs.append((reached, end))
+    return int(sums[-1]), pairs

@@ -331,8 +331,8 @@ _ROTATE = "fold AS (SELECT CAST(-1 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS size,
 
 @_query(_SIZES + _ROTATE)
 def kv_memtable_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Freeze points of one write buffer of 4,096 bytes over one batch of 2,000 events."""
-    e = table(spark, sf_dir, "events").where("event_id < 2000")
+    """Freeze points of one write buffer of 4,096 bytes over all events."""
+    e = table(spark, sf_dir, "events")
     return FL.freeze_points(e.select(F.col("event_id").alias("seq"), (F.lit(12) + F.octet_length("event_type") + F.octet_length("props")).cast("long").alias("bytes")), 4096)
 
 

@@ -10,6 +10,7 @@ from keystrand.functions import keys as K
 from keystrand.functions.bounds import UNBOUNDED, Bound, excluded, included, may_hold
 from keystrand.operators import compaction, versions
 from keystrand.operators.files import freeze_points, overlapping, overlapping_bucketed
+from keystrand.plans.queries import QUERIES
 from keystrand.plans.table import KVTable
 from keystrand.schema import LOG, checked
 from keystrand.sources import manifest
@@ -192,6 +193,33 @@ def test_freeze_points_fold(spark):
     assert sorted((r["seq"], r["size"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("slices", [None, 1, 7])
+def test_freeze_points_carry_the_size_from_range_to_range(spark, slices):
+    rng = random.Random(4)
+    for sizes, limit in (([rng.randint(0, 50) for _ in range(3000)], 100), ([rng.choice((0, 1, 500)) for _ in range(400)], 100), ([1] * 300, 250), ([1] * 50, 100), ([0, 200] * 40, 100)):
+        want, size = [], 0
+        for i, b in enumerate(sizes):
+            size += b
+            if size >= limit:
+                want.append((i, size))
+                size = 0
+        got = freeze_points(spark.createDataFrame(list(enumerate(sizes)), "seq long, bytes long"), limit, slices=slices)
+        assert sorted((r["seq"], r["size"]) for r in got.collect()) == want
+
+
+def test_memtable_rotation_folds_all_events(spark):
+    sf = "/root/testdata/sf0.01"
+    want, size = [], 0
+    for r in sorted(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "props").collect()):
+        size += 12 + len(r["event_type"].encode()) + len(r["props"].encode())
+        if size >= 4096:
+            want.append((r["event_id"], size))
+            size = 0
+    got = QUERIES["kv_memtable_rotation"](spark, sf)
+    assert sorted((r["seq"], r["size"]) for r in got.collect()) == want and want[-1][0] >= 2000
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_scalar_functions(spark):
     row = spark.range(1).select(
         K.encode_key(F.lit(7)).alias("key"), K.base64_plain(F.lit("x" * 100)).alias("b"), F.crc32(F.lit("123456789")).alias("crc"),

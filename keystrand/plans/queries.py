@@ -291,7 +291,7 @@ written AS (SELECT p.k, 1000000000 + row_number() OVER (ORDER BY p.k) AS seq, co
 SELECT k, seq, v FROM written UNION ALL SELECT k, seq, v FROM live WHERE k NOT IN (SELECT k FROM written)""")
 def kv_rmw(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
-    probes = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.format_string("user_%06d", F.col("c_custkey")).alias("key"))
+    probes = table(spark, sf_dir, "customer").select(F.format_string("user_%06d", F.col("c_custkey")).alias("key"))
     change = lambda v: F.concat(F.coalesce(v.cast("string"), F.lit("none")), F.lit("!")).cast("binary")
     return _text(V.live_view(log.unionByName(V.read_modify_write(log, probes, change, 10**9))), "seq")
 

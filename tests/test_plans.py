@@ -56,6 +56,11 @@ def test_rmw_changes_every_customer(spark):
     assert sum("!'" in r for r in got) == spark.read.parquet(f"{SMALL}/customer.parquet").count()
 
 
+def test_multi_get_probes_every_customer(spark):
+    got, want = whole(spark, "kv_multi_get", " WHERE c_custkey % 3 = 0")
+    assert got == want and len(got) == spark.read.parquet(f"{SMALL}/customer.parquet").count()
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())

@@ -61,6 +61,13 @@ def test_multi_get_probes_every_customer(spark):
     assert got == want and len(got) == spark.read.parquet(f"{SMALL}/customer.parquet").count()
 
 
+def test_asof_snapshots_are_of_all_events(spark):
+    got, want = whole(spark, "bench_asof_stats", " WHERE event_id % 7 = 0")
+    assert got == want
+    highest = spark.read.parquet(f"{SMALL}/events.parquet").agg(F.max("event_id")).first()[0]
+    assert queries.bench_asof_stats(spark, SMALL).agg(F.max("l0_files")).first()[0] == highest
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())

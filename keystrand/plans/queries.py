@@ -276,7 +276,7 @@ def kv_buffered_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_LOG + "SELECT k, coalesce('over|' || CAST(o_orderkey AS VARCHAR), v) AS v FROM live FULL JOIN (SELECT o_orderkey, printf('user_%06d', o_orderkey) AS k FROM orders WHERE o_orderkey < 50) USING (k)")
 def kv_put_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    puts = table(spark, sf_dir, "orders").where("o_orderkey < 50").select(F.format_string("user_%06d", F.col("o_orderkey")).alias("key"), (F.lit(10**9) + F.col("o_orderkey")).alias("seq"), F.lit(PUT).cast("byte").alias("op"), F.concat(F.lit("over|"), F.col("o_orderkey").cast("string")).cast("binary").alias("value"))
+    puts = table(spark, sf_dir, "orders").select(F.format_string("user_%06d", F.col("o_orderkey")).alias("key"), (F.lit(10**9) + F.col("o_orderkey")).alias("seq"), F.lit(PUT).cast("byte").alias("op"), F.concat(F.lit("over|"), F.col("o_orderkey").cast("string")).cast("binary").alias("value"))
     return _text(V.live_view(event_log(spark, sf_dir).unionByName(puts)))
 
 

@@ -68,6 +68,12 @@ def test_asof_snapshots_are_of_all_events(spark):
     assert queries.bench_asof_stats(spark, SMALL).agg(F.max("l0_files")).first()[0] == highest
 
 
+def test_put_overwrite_puts_every_order(spark):
+    got, want = whole(spark, "kv_put_overwrite", " WHERE o_orderkey < 50")
+    assert got == want
+    assert sum("over|" in r for r in got) == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())

@@ -49,8 +49,9 @@ def _tokenizer(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        _tokenizers[path] = (tok, tok.model, {})
+        # A text with the string of an added token, in any case, goes through the tokenizer as a whole.
+        added = [re.escape(t.content.lower()) for t in tok.get_added_tokens_decoder().values()]
+        _tokenizers[path] = (tok, tok.model, {}, re.compile("|".join(added) or "(?!)"))
     return _tokenizers[path]
 
 
@@ -58,10 +59,11 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text.
 
     Words met before come from a bounded cache of this process, which starts afresh when full;
-    results don't depend on it.  Strings of special tokens in a text are ordinary text.
+    results don't depend on it.  Strings of special tokens in a text become those tokens, as the
+    tokenizer's file has it.
     """
-    tok, model, cache = _tokenizer(path)
-    words = [None if _ODD.search(t) else _PRE.findall(t.lower()) for t in texts]
+    tok, model, cache, added = _tokenizer(path)
+    words = [None if _ODD.search(t) or added.search(t.lower()) else _PRE.findall(t.lower()) for t in texts]
     new = [w for w in set().union(*(w for w in words if w)) if w not in cache]
     if len(cache) + len(new) > _CACHE:
         cache.clear()

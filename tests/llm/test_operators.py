@@ -493,6 +493,16 @@ def test_license_plan_is_native(spark):
 # -- 9: packing --------------------------------------------------------------------
 
 
+def test_encode_special_tokens(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.tokenizer_path(spark, "word_bpe_49k.json")
+    tok = tokenizers.Tokenizer.from_file(path)
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    texts = ["a <|endoftext|> b", "plain text", "", *(f"x{a}y {a.upper()} z" for a in added), "\u4e2d <|endoftext|>"]
+    assert packing.encode(texts, path) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert 49407 in np.frombuffer(packing.encode(texts[:1], path)[0], "<u4")
+
+
 def test_packing(spark, docs, nothing):
     tokenizers = pytest.importorskip("tokenizers")
     path = queries.tokenizer_path(spark, "word_bpe_49k.json")

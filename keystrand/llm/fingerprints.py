@@ -17,18 +17,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from . import text as T
 
 #: Bits of the filter that says which digests may occur twice; fixed, so it can be broadcast.
 FILTER_BITS = 25
 SALTS = 256
 
 
+def _canonical(part: str) -> str:
+    if part.isascii():
+        return " ".join(part.lower().split())
+    part = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", part).casefold())
+    return " ".join(part.split())
+
+
 def canonical(text: str) -> str:
-    """The text under NFKC and case folding, words joined by single spaces."""
-    if text.isascii():
-        return " ".join(text.lower().split())
-    text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
-    return " ".join(text.split())
+    """The text under NFKC and case folding, words joined by single spaces.
+
+    Long texts go part by part: no character composes with a space before it."""
+    return " ".join(filter(None, map(_canonical, T.pieces(text))))
 
 
 def digest(canon: str) -> tuple[str, int]:
@@ -70,8 +77,8 @@ def _neighbours(docs: DataFrame) -> DataFrame:
         held: tuple | None = None
         blank = (None,) * 7
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                own, out = batch.slice(at, 256), []
+            for own in T.slices(batch, "text", 1 << 20):
+                out = []
                 for i, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist()):
                     canon = canonical(text)
                     mark = digest(canon)
@@ -125,9 +132,9 @@ def collisions(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
+            for own in T.slices(batch, "text", 1 << 20):
                 out = []
-                for text in batch.slice(at, 512).column(0).to_pylist():
+                for text in own.column(0).to_pylist():
                     canon = canonical(text)
                     out.append((*digest(canon), canon))
                 yield _batch(out, ["fingerprint", "f_check", "canon"], pa.int64())

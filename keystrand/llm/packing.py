@@ -13,7 +13,7 @@ import re
 import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from . import text as T
 
 CAPACITY = 2048
 GROUPS = 24
@@ -33,47 +34,78 @@ BLOCK = 1 << 16
 # tokenizer as a whole.
 _ODD = re.compile("[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 _PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r 0-9a-z\xdf-\xf6\xf8-\xff]+")
-_CACHE = 400_000
+#: Bytes that a process keeps for words met before, about.
+CACHE_BYTES = 32 << 20
+_ENTRY = 250
 # Byte-level models write bytes that don't print as the code points from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _pack_ids = [struct.Struct(f"<{n}I").pack for n in range(32)]
-_tokenizers: dict[str, tuple] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _tokenizers:
+class Encoder:
+    """Ids of texts by a tokenizer's file, and the ids of words met before.
+
+    What is kept is bounded in bytes; results don't depend on it.
+    Strings of special tokens in a text become those tokens, as the tokenizer's file has it."""
+
+    def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        # A text with the string of an added token, in any case, goes through the tokenizer as a whole.
-        added = [re.escape(t.content.lower()) for t in tok.get_added_tokens_decoder().values()]
-        _tokenizers[path] = (tok, tok.model, {}, re.compile("|".join(added) or "(?!)"))
-    return _tokenizers[path]
+        self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        # A part with the string of an added token, in any case, goes through the tokenizer as a whole.
+        added = [re.escape(t.content.lower()) for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)")
+        self.known = T.Known(CACHE_BYTES, _ENTRY)
 
+    def _word(self, w: str) -> bytes:
+        own = w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.model.tokenize(own)]
+        return _pack_ids[len(ids)](*ids) if len(ids) < 32 else np.array(ids, "<u4").tobytes()
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        words = [None if _ODD.search(t) or self.added.search(t.lower()) else _PRE.findall(t.lower()) for t in parts]
+        get = self.known.add(set().union(*(w for w in words if w)), lambda new: zip(new, map(self._word, new)))
+        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(parts, words)]
+
+    def encode(self, texts: Iterable[str], most: int = 1 << 20) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; about ``most`` characters at a time."""
+        out: list[list[bytes]] = []
+        parts: list[tuple[int, str]] = []
+
+        def flush() -> None:
+            for (i, _), ids in zip(parts, self._parts([t for _, t in parts])):
+                out[i].append(ids)
+            parts.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            out.append([])
+            for part in T.pieces(text, most):  # a cut at a space changes no token
+                parts.append((i, part))
+                size += len(part)
+                if size >= most:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(x) for x in out]
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer's file, one for each process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text.
 
-    Words met before come from a bounded cache of this process, which starts afresh when full;
-    results don't depend on it.  Strings of special tokens in a text become those tokens, as the
-    tokenizer's file has it.
-    """
-    tok, model, cache, added = _tokenizer(path)
-    words = [None if _ODD.search(t) or added.search(t.lower()) else _PRE.findall(t.lower()) for t in texts]
-    new = [w for w in set().union(*(w for w in words if w)) if w not in cache]
-    if len(cache) + len(new) > _CACHE:
-        cache.clear()
-        new = list(set().union(*(w for w in words if w)))
-    for w in new:
-        own = w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS)
-        ids = [t.id for t in model.tokenize(own)]
-        cache[w] = _pack_ids[len(ids)](*ids) if len(ids) < 32 else np.array(ids, "<u4").tobytes()
-    get = cache.__getitem__
-    return [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
+def encode(texts: list[str], path: str) -> list[bytes]:
+    """Little-endian unsigned 32-bit ids of each text."""
+    return encoder(path).encode(texts)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -87,8 +119,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in T.slices(batch, "text", 1 << 20):
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(encode([t or "" for t in part.column(1).to_pylist()], path)):
                     ids += b"\0\0\0\0"
@@ -124,13 +155,19 @@ def _knapsack(sizes: np.ndarray, values: np.ndarray, most: np.ndarray, capacity:
     return float(value), out
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[int, np.ndarray]]:
-    """(times, configuration): whole parts of the configuration program's solution."""
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
+    """(times, configuration): whole parts of the configuration program's solution.
+
+    Columns are generated until none prices out, or (where the basis is degenerate) until 4 g of g
+    sizes have come in without an improvement."""
     g = len(sizes)
     most = np.minimum(demand, capacity // sizes)
     basis = np.diag(most.astype(float))
-    for _ in range(rounds):
+    best, idle = np.inf, 0
+    while idle < 4 * g:
         x = np.linalg.solve(basis, demand)
+        idle = 0 if x.sum() < best - 1e-9 else idle + 1
+        best = min(best, x.sum())
         price = np.linalg.solve(basis.T, np.ones(g))
         value, new = _knapsack(sizes, price, most, capacity)
         if value <= 1 + 1e-6:
@@ -161,8 +198,8 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) ->
             room[r].append(b)
 
     large = order[(lengths[order] < capacity) & (lengths[order] > capacity * LONG)]
-    if len(large) >= 4 * groups:
-        parts = np.array_split(large, groups)
+    if len(large):
+        parts = np.array_split(large, min(groups, len(large)))
         sizes, which = np.unique([lengths[p[0]] for p in parts], return_inverse=True)
         demand = np.bincount(which, weights=[len(p) for p in parts])
         stock: dict[int, list[int]] = {}

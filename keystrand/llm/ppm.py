@@ -62,6 +62,25 @@ def paths(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[inside], offsets + np.arange(n + 1)
 
 
+def path_parts(offsets: np.ndarray, data: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What :func:`paths` returns; of a single text with more bytes, in parts."""
+    n = len(data)
+    if len(offsets) != 2 or n <= most:
+        yield paths(offsets, data)
+        return
+    for a in range(0, n + 1, most):
+        b = min(n + 1, a + most)
+        stream = np.full(b - a + ORDER, _END, np.uint8)
+        before = min(a, ORDER)
+        own = data[a - before : b]
+        stream[ORDER - before : ORDER - before + len(own)] = T.LOWER[own]
+        out = np.zeros(b - a, np.uint64)
+        for j in range(ORDER + 1):
+            out <<= np.uint64(8)
+            out |= stream[j : j + b - a]
+        yield out, np.array([0, b - a])
+
+
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted keys with their summed counts."""
     if not keys:
@@ -156,8 +175,8 @@ def _gather(docs: DataFrame, n_shards: int) -> DataFrame:
             schema = batch.schema
             for part in T.slices(batch, "text", 1 << 20):
                 n, train = part.num_rows, part.column("train").to_numpy(zero_copy_only=False).astype(bool)
-                keys, first = paths(*T.string_buffers(part.column("text")))
-                grams.add(keys, np.repeat(train, np.diff(first)))
+                for keys, first in path_parts(*T.string_buffers(part.column("text"))):
+                    grams.add(keys, np.repeat(train, np.diff(first)))
                 keys, first = _words(part, "text")
                 words.add(keys, np.repeat(train, np.diff(first)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, base + sub)), pa.array(np.full(n, _DOC, np.int32)), *(pa.nulls(n, t) for t in types[2:]), *(part.column(c) for c in names[5:])], names)
@@ -329,8 +348,7 @@ def score(docs: DataFrame) -> DataFrame:
                         tables[asked] = (T.Lookup(np.concatenate([parts[asked][i] for i in parts[asked]])), np.concatenate([parts[answer][i] for i in parts[asked]]))
                     parts = {}
                 for part in T.slices(own, "text", 1 << 20):
-                    keys, first = paths(*T.string_buffers(part.column("text")))
-                    logs = np.add.reduceat(tables[_GRAM][1][tables[_GRAM][0].find(keys)].astype(np.float64), first[:-1])
+                    logs = sum(np.add.reduceat(tables[_GRAM][1][tables[_GRAM][0].find(keys)].astype(np.float64), first[:-1]) for keys, first in path_parts(*T.string_buffers(part.column("text"))))
                     keys, first = _words(part, "text")
                     c = tables[_WORD][1][tables[_WORD][0].find(keys)]
                     n_tokens = np.diff(first)

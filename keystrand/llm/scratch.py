@@ -61,16 +61,19 @@ def in_filter(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((held[at >> 6] >> (at & 63)) & 1).astype(bool)
 
 
-#: Rows that go to a Python worker at once; texts may be long.
-BATCH_ROWS = 1000
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes that go to a Python worker at once; texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow in batches of bounded size; when a task ends, its worker gives memory back."""
+    """mapInArrow in batches of bounded size; when a task ends, its worker gives memory back.
+
+    The session's bounds are lowered to :data:`BATCH` where they are higher, and stay so: Spark
+    reads them when the plan runs, which may be after this function has returned."""
     spark = df.sparkSession
-    if int(spark.conf.get(_BATCH_SETTING)) > BATCH_ROWS:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    for name, most in BATCH.items():
+        if not 0 < int(str(spark.conf.get(name)).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -10,6 +10,7 @@ from . import text as T
 NEWLINE = np.zeros(256, bool)
 NEWLINE[10] = True
 SYMBOLS = b"#*$%&|<>"
+_SEGMENT = 1 << 18
 #: The names of what :func:`statistics` returns, in order.
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_upper", "n_digits", "n_punct", "n_bars", "n_bangs", "n_distinct", "n_short", "entropy")
 
@@ -33,6 +34,58 @@ def _per_text(first: np.ndarray, flags: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
+def _salted(keys: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
+    """The keys, apart for each of n texts."""
+    return keys ^ T.mix(T.mix(np.arange(n, dtype=np.uint64) + np.uint64(1 << 40)) + np.uint64(0x5851F42D4C957F2D))[text_of]
+
+
+def _distinct(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Distinct keys of each text.  A single text's (it may be long) are sorted in place."""
+    n = len(first) - 1
+    if n == 1:
+        keys.sort()
+        return np.array([len(keys) and 1 + np.count_nonzero(keys[1:] != keys[:-1])])
+    text_of = np.repeat(np.arange(n), np.diff(first))
+    order, new = T.groups_of_equal(_salted(keys, text_of, n))
+    return np.bincount(text_of[order[new]], minlength=n)
+
+
+def _repeated(words: np.ndarray, first: np.ndarray, size: int = 8) -> np.ndarray:
+    """Words of each text in windows of ``size`` words that occur twice or more in it."""
+    n = len(first) - 1
+    if n == 1:
+        return np.array([_repeated_in_one(words, size)])
+    keys, at = T.windows(words, first, size)
+    order, new = T.groups_of_equal(_salted(keys, np.repeat(np.arange(n), np.diff(first))[at], n))
+    cover = np.zeros(len(words) + 1, np.int64)
+    again = at[order[~(new & np.append(new[1:], True))]]
+    np.add.at(cover, again, 1)
+    np.add.at(cover, again + size, -1)
+    return _per_text(first, np.cumsum(cover)[:-1] > 0)
+
+
+def _repeated_in_one(words: np.ndarray, size: int) -> int:
+    """The hashes of all windows are sorted once to learn which repeat, and made again, segment by
+    segment, to mark the words of those."""
+    n = len(words) - size + 1
+    if n < 2:
+        return 0
+    spans = [(a, min(n, a + _SEGMENT)) for a in range(0, n, _SEGMENT)]
+    made = lambda a, b: T.windows(words[a : b + size - 1], np.array([0, b + size - 1 - a]), size)[0]
+    ranked = np.concatenate([made(a, b) for a, b in spans])
+    ranked.sort()
+    again = ranked[1:][ranked[1:] == ranked[:-1]]
+    if not len(again):
+        return 0
+    covered = np.zeros(len(words), bool)
+    for a, b in spans:
+        own = made(a, b)
+        hit = again[np.minimum(np.searchsorted(again, own), len(again) - 1)] == own
+        for j in range(size):
+            covered[a + j : b + j] |= hit
+    return int(np.count_nonzero(covered))
+
+
 def statistics(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A row of :data:`NAMES` for each text (null: empty).
 
@@ -45,40 +98,28 @@ def statistics(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     out = np.zeros((n, len(NAMES)))
     if not len(data):
         return out
-    owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
-    hist = np.bincount(owner * 256 + data, minlength=n * 256).reshape(n, 256)
-    del owner
+    hist = np.zeros((n, 256), np.int64)
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        for at in range(a, b, _SEGMENT):
+            hist[k] += np.bincount(data[at : min(b, at + _SEGMENT)], minlength=256)
     chars = hist @ _CLASSES
     starts, ends, first = T.word_spans(offsets, data)
-    words, _ = T.word_hashes(offsets, data, lower=False)
-    text_of = np.repeat(np.arange(n, dtype=np.uint64), np.diff(first))
-    salt = T.mix(T.mix(np.arange(n, dtype=np.uint64) + np.uint64(1 << 40)) + np.uint64(0x5851F42D4C957F2D))
-    order, new = T.groups_of_equal(words ^ salt[text_of.astype(np.int64)])
-    distinct = np.bincount(text_of[order[new]].astype(np.int64), minlength=n)
-
-    keys, at = T.windows(words, first, 8)
-    keys ^= salt[text_of[at].astype(np.int64)]
-    order, new = T.groups_of_equal(keys)
-    single = new & np.append(new[1:], True)
-    cover = np.zeros(len(words) + 1, np.int64)
-    again = at[order[~single]]
-    np.add.at(cover, again, 1)
-    np.add.at(cover, again + 8, -1)
-    repeated = _per_text(first, np.cumsum(cover)[:-1] > 0)
-
-    lines, line_first = T.word_hashes(offsets, data, lower=False, gaps=NEWLINE)
-    line_start, line_end, _ = T.word_spans(offsets, data, NEWLINE)
+    short = _per_text(first, ends - starts <= 3)
+    del ends
+    line_start, line_end, line_first = T.word_spans(offsets, data, NEWLINE)
     has_word = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
-    line_text = np.repeat(np.arange(n), np.diff(line_first))
-    order, new = T.groups_of_equal(lines ^ salt[line_text])
-    dup = np.zeros(len(lines), bool)
-    dup[order[~new]] = True
-    size = hist.sum(axis=1)
-    share = hist / np.maximum(size, 1)[:, None]
+    del starts, line_start, line_end
+    n_lines = _per_text(line_first, has_word)
+    lines, _ = T.word_hashes(offsets, data, lower=False, gaps=NEWLINE)
+    dup = n_lines - _distinct(lines[has_word], np.concatenate([[0], np.cumsum(n_lines)]))
+    del lines, has_word
+    words, _ = T.word_hashes(offsets, data, lower=False)
+    repeated = _repeated(words, first)
+    distinct = _distinct(words, first)
+    share = hist / np.maximum(hist.sum(axis=1), 1)[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
         entropy = -np.nansum(np.where(share > 0, share * np.log2(share), 0), axis=1)
-    columns = (np.diff(first), chars[:, 0], chars[:, 1], _per_text(line_first, dup & has_word), repeated, chars[:, 2],
-               _per_text(line_first, has_word), *(chars[:, k] for k in range(3, 8)), distinct, _per_text(first, ends - starts <= 3), entropy)
+    columns = (np.diff(first), chars[:, 0], chars[:, 1], dup, repeated, chars[:, 2], n_lines, *(chars[:, k] for k in range(3, 8)), distinct, short, entropy)
     for k, c in enumerate(columns):
         out[:, k] = c
     return out

@@ -1,12 +1,15 @@
 """Vectorised kernels over the bytes of Arrow string columns.
 
 A word is a maximal run of bytes outside ``\\x20 \\x09-\\x0D``; letters A-Z are lower-cased.
-Every kernel works on whole texts; long ones are cut at white space only to bound memory.
+Every kernel works on whole texts.  Long ones are worked through in segments, so that what is held
+beside the text itself is a few bytes for each of its words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +19,10 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_SPACE_AFTER = re.compile("[^ ](?= )")
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -81,18 +85,18 @@ def word_spans(offsets: np.ndarray, data: np.ndarray, gaps: np.ndarray = SPACE)
 
     With other ``gaps``, the runs between these bytes instead of words."""
     n = len(data)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(len(offsets), np.int64)
-    solid = ~gaps[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    begin = solid.copy()
-    begin[1:] &= ~solid[:-1] | edge[1:n]
-    end = solid.copy()
-    end[:-1] &= ~solid[1:] | edge[1:n]
-    starts = np.flatnonzero(begin)
-    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, n, _SEGMENT):
+        b = min(n, a + _SEGMENT)
+        solid = np.zeros(b - a + 2, bool)  # with the bytes before and after
+        solid[1:-1] = ~gaps[data[a:b]]
+        solid[0], solid[-1] = a > 0 and not gaps[data[a - 1]], b < n and not gaps[data[b]]
+        edge = np.zeros(b - a + 1, bool)
+        edge[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, side="right")] - a] = True
+        starts.append(np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1])) + a)
+        ends.append(np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + a + 1)
+    first = np.concatenate(starts)
+    return first, np.concatenate(ends), np.searchsorted(first, offsets)
 
 
 def word_counts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -152,6 +156,45 @@ def groups_of_equal(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def pieces(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """A long text in parts that begin at a space after another character; most texts are one part."""
+    at = 0
+    while len(text) - at > most:
+        found = _SPACE_AFTER.search(text, at + most)
+        if not found:
+            break
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:] if at else text
+
+
+class Known:
+    """Values of words met before, bounded in bytes: two generations of half the bytes each.  A word
+    that is asked for again moves to the younger; when that is full it becomes the older."""
+
+    def __init__(self, most: int, entry: int) -> None:
+        self.young: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
+        self.held, self.most, self.entry = 0, most, entry
+
+    def add(self, wanted: set[str], learn: Callable[[list[str]], Iterable[tuple[str, Any]]]) -> Callable[[str], Any]:
+        """Makes sure that all wanted words have a value; returns the way to look them up."""
+        if self.held > self.most // 2:
+            self.young, self.old, self.held = {}, self.young, 0
+        young, old = self.young, self.old
+        new = [w for w in wanted if w not in young]
+        self.held += sum(map(len, new)) + self.entry * len(new)
+        unknown = []
+        for w in new:
+            value = old.get(w)
+            if value is None:
+                unknown.append(w)
+            else:
+                young[w] = value
+        young.update(learn(unknown))
+        return young.__getitem__
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with about ``most`` bytes of text each (one row at least)."""
     offsets, _ = string_buffers(batch.column(column))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -18,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from . import text as T
 
 _PRE = re.compile(" *[^ \n]+|\n| +")
-#: Pre-tokens a process keeps; it starts afresh when there are more.
-_CACHE = 500_000
+#: Bytes that a process keeps for pre-tokens met before, about.
+CACHE_BYTES = 48 << 20
+_ENTRY = 160
 _UNKNOWN_PENALTY = 10.0
 _counters: dict[str, Counter] = {}
 
@@ -31,7 +34,8 @@ class Counter:
 
     A file of merges has ranks in place of log-probabilities (its scores are their negatives);
     with ``ranks`` a piece of rank r has the log-probability of Zipf's law, -ln((r + 1) H), H
-    being the sum of 1 / (r + 1); without, the file's scores are taken as they are.  Spaces are written as U+2581.  A character that no piece covers is as many tokens as it has
+    being the sum of 1 / (r + 1), which is a model and no score that the file holds; without, the
+    file's scores are taken as they are.  Spaces are written as U+2581.  A character that no piece covers is as many tokens as it has
     UTF-8 bytes (one if the vocabulary has no bytes), at the least score less a penalty.  Of
     equal scores the segmentation with the longer last piece wins."""
 
@@ -48,12 +52,12 @@ class Counter:
         self.bytes = any(model.is_byte(i) for i in ids)
         self.longest = max(map(len, self.scores))
         self.unknown = min(self.scores.values()) - _UNKNOWN_PENALTY
-        self.counts: dict[str, int] = {}
+        self.known = T.Known(CACHE_BYTES, _ENTRY)
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Stores the counts of pre-tokens: one forward step for each node of their trie."""
+    def learn(self, words: Iterable[str]) -> Iterator[tuple[str, int]]:
+        """The counts of pre-tokens: one forward step for each node of their trie."""
         scores, longest, last = self.scores.get, self.longest, ""
-        forward, number = [0.0], [0]
+        forward, number = array("d", [0.0]), array("q", [0])
         for word in sorted(words):
             own = word.replace(" ", "▁")
             shared, most = 0, min(len(own), len(last))
@@ -71,20 +75,36 @@ class Counter:
                 forward.append(best)
                 number.append(tokens)
             last = own
-            self.counts[word] = number[-1]
-
-    def count(self, texts: list[str]) -> list[tuple[int, int]]:
-        """(tokens, pre-tokens) of each text."""
-        words = [_PRE.findall(" " + t) if t else [] for t in texts]
-        distinct = set().union(*words)
-        new = [w for w in distinct if w not in self.counts]
-        if len(self.counts) + len(new) > _CACHE:
-            self.counts.clear()
-            new = list(distinct)
-        self.learn(new)
-        get = self.counts.__getitem__
+            yield word, number[-1]
+
+    def _parts(self, parts: list[str]) -> list[tuple[int, int]]:
+        words = [_PRE.findall(t) for t in parts]
+        get = self.known.add(set().union(*words), self.learn)
         return [(sum(map(get, w)), len(w)) for w in words]
 
+    def count(self, texts: Iterable[str], most: int = 1 << 20) -> list[tuple[int, int]]:
+        """(tokens, pre-tokens) of each text; about ``most`` characters at a time."""
+        out: list[list[int]] = []
+        parts: list[tuple[int, str]] = []
+
+        def flush() -> None:
+            for (i, _), (n, m) in zip(parts, self._parts([t for _, t in parts])):
+                out[i][0] += n
+                out[i][1] += m
+            parts.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            out.append([0, 0])
+            for k, part in enumerate(T.pieces(text, most) if text else ()):  # no pre-token has a cut within
+                parts.append((i, part if k else " " + part))
+                size += len(part)
+                if size >= most:
+                    flush()
+                    size = 0
+        flush()
+        return [(n, m) for n, m in out]
+
 
 def counter(path: str) -> Counter:
     """The counter of a model file, one for each process."""
@@ -103,8 +123,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in T.slices(batch, "text", 1 << 20):
                 found = own.count([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["doc_id", "n_tokens", "n_pre_tokens"])
 

@@ -1,10 +1,12 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinants.
 
-For each language and source, the location and scatter of the half of its documents whose
-covariance determinant is smallest: hashed blocks of bounded size each take concentration steps
-from several random starts, the blocks' best subsets are pooled, and further concentration steps
-run over all rows of the group, from sums and histograms.  A document whose Mahalanobis distance
-is too large is rejected, beside those that fail the base rules.
+For each language and source, whatever its size, the location and scatter of the three quarters of
+its documents whose regularised covariance has the smallest determinant: hashed blocks of bounded
+size each take concentration steps from several random starts, the blocks' best subsets are
+pooled, and concentration steps over all rows of the group, from sums and histograms, follow until
+its determinant falls no more.  A group's scatter is shrunk towards that pooled within all groups,
+the more the fewer rows it has, so that few rows leave it regular.  A document whose Mahalanobis
+distance is too large is rejected, beside those that fail the base rules.
 """
 
 from __future__ import annotations
@@ -31,41 +33,42 @@ SHARE = 0.75
 #: Squared distances over this are outliers (11 degrees of freedom: about 1e-8 if normal).
 CUTOFF = 60.0
 BLOCK = 500
-#: Groups of fewer rows are judged by the estimate of their language, or of all rows.
-LEAST = 10 * D
-STEPS = 2
+#: Models of so many groups at most (about 1 KB each) are broadcast.
+BROADCAST_GROUPS = 20_000
 #: Squared distances are counted in bins of 1/BINS of a natural logarithm.
 BINS = 64
 
 
-def _inverse(cov: np.ndarray) -> np.ndarray:
-    return np.linalg.inv(cov + np.diag(FLOOR**2))
-
-
 def _squared(x: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> np.ndarray:
     y = x - mean
     return np.einsum("ij,jk,ik->i", y, inverse, y)
 
 
-def concentrate(x: np.ndarray, starts: int = 8, seed: int = 1) -> np.ndarray:
-    """The best subset of SHARE of the rows: concentration steps from random starts of D + 1 rows
-    and from the rows nearest to the median, until the determinant falls no more."""
+def regularised(cov: np.ndarray, n: float, target: np.ndarray | None = None) -> np.ndarray:
+    """The scatter of a group of n rows whose subset has the covariance ``cov``: shrunk towards the
+    target as if that were known from as many rows as there are statistics, and with the floor."""
+    kept = SHARE * n
+    share = 0.0 if target is None else D / (D + kept)
+    return (1 - share) * cov + (share * target if target is not None else 0.0) + np.diag(FLOOR**2)
+
+
+def concentrate(x: np.ndarray, starts: int = 8, seed: int = 1, target: np.ndarray | None = None) -> np.ndarray:
+    """The best subset of SHARE of the rows: concentration steps from random starts of up to D + 1
+    rows and from the rows nearest to the median, until the determinant falls no more."""
     n, h = len(x), max(1, int(np.ceil(SHARE * len(x))))
     if h == n:
         return np.arange(n)
     rng, best = np.random.default_rng(seed), (np.inf, np.arange(h))
     middle = np.argsort((((x - np.median(x, axis=0)) / FLOOR) ** 2).sum(axis=1), kind="stable")[:h]
+    scatter = lambda own: regularised(np.cov(x[own].T, bias=True), n, target)
     for k in range(starts):
-        own = middle if k == 0 else rng.choice(n, min(n, D + 1), replace=False)
-        last = np.inf
-        for _ in range(20 if k == 0 else 6):
-            mean, cov = x[own].mean(axis=0), np.cov(x[own].T, bias=True)
-            d = _squared(x, mean, _inverse(cov))
-            own = np.argpartition(d, h - 1)[:h]
-            det = np.linalg.slogdet(np.cov(x[own].T, bias=True) + np.diag(FLOOR**2))[1]
+        own, last = middle if k == 0 else rng.choice(n, min(D + 1, max(2, h // 2)), replace=False), np.inf
+        while True:
+            new = np.argpartition(_squared(x, x[own].mean(axis=0), np.linalg.inv(scatter(own))), h - 1)[:h]
+            det = np.linalg.slogdet(scatter(new))[1]
             if det >= last - 1e-9:
                 break
-            last = det
+            own, last = new, det
         if last < best[0]:
             best = (last, own)
     return np.sort(best[1])
@@ -118,8 +121,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _by_model(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row numbers, x, squared distances) of the rows of each group in a batch with g, x and m."""
-    codes = batch.column("g").dictionary_encode().indices.to_numpy()
+    """(row numbers, x, squared distances) of the rows of each group in a batch with q_g, x and m."""
+    codes = batch.column("q_g").dictionary_encode().indices.to_numpy()
     x, m = _matrix(batch.column("x"), D), batch.column("m")
     for k in np.unique(codes):
         at = np.flatnonzero(codes == k)
@@ -137,67 +140,99 @@ def _totals(parts: DataFrame) -> DataFrame:
     return each.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("total"))
 
 
-def _models(totals: DataFrame) -> DataFrame:
-    """(g, m): mean and inverse scatter of each group; of few rows, those of its language, and of
-    few rows in that, those of all rows."""
-    lang = F.coalesce(F.get_json_object("g", "$.l"), F.lit(""))
-    shared = _totals(totals.select(lang.alias("g"), F.col("total").alias("v"))).select(F.col("g").alias("l"), F.col("total").alias("l_total"))
-    whole = _totals(totals.select(F.lit("*").alias("g"), F.col("total").alias("v"))).select("total").collect()
-    everything = np.asarray(whole[0][0]) if whole else np.zeros(1 + D + D * D)
+def _with_models(rows: DataFrame, models: DataFrame, n_groups: int, salts: int = 64) -> DataFrame:
+    """Rows (q_g, ...) with the columns of their group's model: models are broadcast up to a number
+    of groups; beyond it each is copied ``salts`` times, so that a group's rows are dealt as widely."""
+    if n_groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(models), "q_g")
+    copies = models.withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("q_salt", F.floor(F.rand(1) * salts).cast("int")).join(copies, ["q_g", "q_salt"]).drop("q_salt")
+
+
+def _models(totals: DataFrame, counts: DataFrame, target: np.ndarray, name: str) -> DataFrame:
+    """(g, m, det): mean, inverse scatter and log-determinant of each group from its subset's sums."""
     width = 1 + D + D * D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for own, language in zip(_matrix(batch.column(1), width), _matrix(batch.column(2), width)):
-                mean, cov = _estimate(next((t for t in (own, language) if t[0] >= LEAST * SHARE), everything))
-                out.append(np.concatenate([mean, _inverse(cov).ravel()]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["g", "m"])
+            out, dets = [], []
+            for total, n in zip(_matrix(batch.column("total"), width), batch.column("n").to_numpy()):
+                mean, cov = _estimate(total)
+                scatter = regularised(cov, n, target)
+                out.append(np.concatenate([mean, np.linalg.inv(scatter).ravel()]))
+                dets.append(np.linalg.slogdet(scatter)[1])
+            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(out, pa.list_(pa.float64())), pa.array(dets, pa.float64())], ["g", "m", "det"])
 
-    rows = totals.select("g", "total", lang.alias("l")).join(shared, "l").select("g", "total", "l_total")
-    return scratch.table(scratch.map_arrow(rows, run, "g string, m array<double>"), "models")
+    return scratch.table(scratch.map_arrow(totals.join(counts, "g").select("g", "total", "n"), run, "g string, m array<double>, det double"), name)
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """(g, m) for each group of ``rows`` (g, x, part, slot): mean, then inverse scatter."""
+def _within(totals: DataFrame) -> np.ndarray:
+    """The scatter within the blocks' subsets, pooled over all groups; one row of sums."""
+    sums = [F.sum(F.get("v", 0)).alias("n")] + [F.sum(F.get("v", 1 + D + j * D + k) - F.get("v", 1 + j) * F.get("v", 1 + k) / F.get("v", 0)).alias(f"s{j}_{k}") for j in range(D) for k in range(D)]
+    row = np.array([v or 0.0 for v in totals.agg(*sums).first()])
+    return row[1:].reshape(D, D) / max(row[0], 1.0)
+
+
+def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(g, m) for each group of ``rows`` (g, x, part, slot): mean, then inverse scatter; and how
+    many groups there are."""
     counts = scratch.table(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "counts")
-    blocks = rows.join(counts, "g").withColumn("block", F.pmod(F.xxhash64("part", "slot"), F.ceil(F.col("n") / BLOCK)).cast("int"))
+    n_groups = counts.count()
+    at = counts.select(F.col("g").alias("q_g"), "n")
+    blocks = _with_models(rows.withColumnRenamed("g", "q_g"), at, n_groups).withColumn("block", F.pmod(F.xxhash64("part", "slot"), F.ceil(F.col("n") / BLOCK)).cast("int"))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf.sort_values(["part", "slot"])["x"].to_numpy())
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "v": [_sums(x[concentrate(x)]).tolist()]})
-
-    pooled = blocks.select("g", "block", "x", "part", "slot").groupBy("g", "block").applyInPandas(best, "g string, v array<double>")
-    models = _models(_totals(scratch.table(pooled, "subsets")))
-    for _ in range(STEPS):
-
-        def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = np.zeros(batch.num_rows, np.int32)
-                for at, _, d in _by_model(batch):
-                    out[at] = _bin(d)
-                yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(out)], ["g", "bin"])
-
-        near = scratch.map_arrow(rows.join(models, "g").select("g", "x", "m"), bins, "g string, bin int").groupBy("g", "bin").count()
-        running = "sum(count) over (partition by g order by bin)"
-        edge = near.selectExpr("g", "bin", f"{running} as below", "sum(count) over (partition by g) as n").where(F.col("below") >= F.lit(SHARE) * F.col("n")).groupBy("g").agg(F.min("bin").alias("edge"))
-
-        def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[str, np.ndarray] = {}
-            for batch in batches:
-                names, edges = batch.column("g"), batch.column("edge").to_numpy()
-                for at, x, d in _by_model(batch):
-                    name = names[int(at[0])].as_py()
-                    held[name] = held.get(name, 0) + _sums(x[_bin(d) <= edges[at[0]]])
-                if len(held) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.list_(pa.float64()))], ["g", "v"])
-                    held = {}
-            if held:
+        return pd.DataFrame({"g": [pdf["q_g"].iloc[0]], "v": [_sums(x[concentrate(x)]).tolist()]})
+
+    pooled = scratch.table(blocks.select("q_g", "block", "x", "part", "slot").groupBy("q_g", "block").applyInPandas(best, "g string, v array<double>"), "subsets")
+    target = _within(pooled)
+    active = _models(_totals(pooled), counts, target, "models").withColumn("det", F.lit(float("inf")))
+    finished: DataFrame | None = None
+    left = n_groups
+    while left:
+        new = _models(_totals(_concentrated(rows, active, left)), counts, target, "models").select("g", F.col("m").alias("new_m"), F.col("det").alias("new_det"))
+        both = scratch.table(active.join(new, "g"), "steps")
+        better = F.col("new_det") < F.col("det") - 1e-9
+        over = both.where(~better).select("g", "m")
+        finished = over if finished is None else finished.unionAll(over)
+        active = both.where(better).select("g", F.col("new_m").alias("m"), F.col("new_det").alias("det"))
+        left = active.count()
+    return (scratch.table(finished, "estimates") if finished is not None else active.select("g", "m")), n_groups
+
+
+def _concentrated(rows: DataFrame, models: DataFrame, n_groups: int) -> DataFrame:
+    """(g, v) partial sums of the rows that a concentration step keeps: those in the nearest bins
+    that hold SHARE of the rows of their group."""
+    at = models.select(F.col("g").alias("q_g"), "m")
+    named = rows.select(F.col("g").alias("q_g"), "x")
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.int32)
+            for at, _, d in _by_model(batch):
+                out[at] = _bin(d)
+            yield pa.RecordBatch.from_arrays([batch.column("q_g"), pa.array(out)], ["g", "bin"])
+
+    near = scratch.map_arrow(_with_models(named, at, n_groups), bins, "g string, bin int").groupBy("g", "bin").count()
+    running = "sum(count) over (partition by g order by bin)"
+    edge = near.selectExpr("g", "bin", f"{running} as below", "sum(count) over (partition by g) as n").where(F.col("below") >= F.lit(SHARE) * F.col("n")).groupBy("g").agg(F.min("bin").alias("edge"))
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names, edges = batch.column("q_g"), batch.column("edge").to_numpy()
+            for at, x, d in _by_model(batch):
+                name = names[int(at[0])].as_py()
+                held[name] = held.get(name, 0) + _sums(x[_bin(d) <= edges[at[0]]])
+            if len(held) > 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.list_(pa.float64()))], ["g", "v"])
+                held = {}
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.list_(pa.float64()))], ["g", "v"])
 
-        limited = scratch.table(models.join(edge, "g"), "edges")
-        models = _models(_totals(scratch.map_arrow(rows.join(limited, "g").select("g", "x", "m", "edge"), inner, "g string, v array<double>")))
-    return models
+    limited = scratch.table(models.select("g", "m").join(edge, "g"), "edges").select(F.col("g").alias("q_g"), "m", "edge")
+    return scratch.map_arrow(_with_models(named, limited, n_groups), inner, "g string, v array<double>")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -205,11 +240,13 @@ def judge(docs: DataFrame) -> DataFrame:
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
     distance (squared; null where the base rules fail).  Null texts have no words and fail;
-    null languages or sources make groups of their own; repeated rows are judged each; a group
-    of few rows is judged by the estimate of its language or of all; an empty table gives no rows.
+    null languages or sources make groups of their own; repeated rows are judged each; a single
+    row of a group has distance 0 and is kept; an empty table gives no rows.  Other columns are
+    ignored, whatever their names.
     """
     table = stats_table(docs)
-    models = estimates(table.where("not base_failed").select("g", "x", "part", "slot"))
+    models, n_groups = estimates(table.where("not base_failed").select("g", "x", "part", "slot"))
+    models = models.select(F.col("g").alias("q_g"), "m")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,15 +257,19 @@ def judge(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", *_BASE, "base_failed")), pa.array(d <= CUTOFF), pa.array(d)], ["doc_id", *_BASE, "base_failed", "kept", "distance"])
 
     schema = f"doc_id {kind}, {', '.join(f'{n} long' for n in _BASE)}, base_failed boolean, kept boolean, distance double"
-    judged = scratch.map_arrow(table.where("not base_failed").join(models, "g").select("doc_id", *_BASE, "base_failed", "g", "x", "m"), run, schema)
+    passed = table.where("not base_failed").select("doc_id", *_BASE, "base_failed", F.col("g").alias("q_g"), "x")
+    judged = scratch.map_arrow(_with_models(passed, models, n_groups), run, schema)
     failed = table.where("base_failed").select("doc_id", *_BASE, "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return judged.unionByName(failed)
 
 
 def keep_normal(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that pass the base rules and are no outliers."""
+    """The rows of ``docs``, all columns under their names, that pass the base rules and are no
+    outliers: the rows that :func:`judge` keeps.  Null and empty texts go; rows that repeat are
+    kept or go each; an empty table gives an empty one."""
     table = stats_table(docs)
-    models = estimates(table.where("not base_failed").select("g", "x", "part", "slot")).select(F.col("g").alias("q_g"), F.col("m").alias("q_m"))
+    models, n_groups = estimates(table.where("not base_failed").select("g", "x", "part", "slot"))
+    models = models.select(F.col("g").alias("q_g"), F.col("m").alias("q_m"))
     names = docs.columns
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], group_key(F.col("lang"), F.col("source")).alias("q_g"))
     text = names.index("text")
@@ -239,9 +280,9 @@ def keep_normal(docs: DataFrame) -> DataFrame:
                 s = stats.statistics(part.column(f"k{text}"))
                 x = pa.array(stats.features(s)[:, AT].tolist(), pa.list_(pa.float64()))
                 keep = (s[:, 0] >= 20) & (100 * s[:, 4] <= 30 * s[:, 0])
-                for at, _, d in _by_model(pa.RecordBatch.from_arrays([part.column("q_g"), x, part.column("q_m")], ["g", "x", "m"])):
+                for at, _, d in _by_model(pa.RecordBatch.from_arrays([part.column("q_g"), x, part.column("q_m")], ["q_g", "x", "m"])):
                     keep[at] &= d <= CUTOFF
                 part = part.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(part.columns[: len(names)], names)
 
-    return scratch.map_arrow(rows.join(models, "q_g").select(*[f"k{i}" for i in range(len(names))], "q_g", "q_m"), run, docs.schema)
+    return scratch.map_arrow(_with_models(rows, models, n_groups).select(*[f"k{i}" for i in range(len(names))], "q_g", "q_m"), run, docs.schema)

@@ -4,6 +4,7 @@ repeated rows and columns with clashing names, and on empty tables."""
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -370,7 +371,7 @@ def base_stats(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, repeat
 
 
-def test_rules_base(docs, nothing):
+def test_rules_base(docs, nothing, monkeypatch):
     got = in_order(outliers.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
     want = []
     for r in docs.collect():
@@ -379,6 +380,7 @@ def test_rules_base(docs, nothing):
     assert got == sorted(want, key=lambda r: (r[0] is None, r[0] or 0, str(r)))
     assert outliers.judge(docs).where("base_failed and kept").count() == 0
     assert outliers.judge(nothing).count() == 0
+    monkeypatch.setattr(outliers, "BROADCAST_GROUPS", 0)  # models are joined by salted keys
     kept = outliers.keep_normal(docs)
     assert kept.columns == docs.columns and kept.count() == outliers.judge(docs).where("kept").count()
 
@@ -390,6 +392,49 @@ def test_random_texts_have_the_base_statistics():
     assert [tuple(int(v) for v in r[:5]) for r in got] == [base_stats(t) for t in texts]
 
 
+def best_subset(x, target=None):
+    """The subset of least determinant, of all there are."""
+    n, h = len(x), max(1, math.ceil(outliers.SHARE * len(x)))
+    det = lambda own: np.linalg.slogdet(outliers.regularised(np.cov(x[own].T, bias=True) if len(own) > 1 else np.zeros((outliers.D,) * 2), n, target))[1]
+    return np.array(min((list(c) for c in itertools.combinations(range(n), h)), key=det))
+
+
+def test_small_groups_are_judged_by_their_own_best_subset(spark):
+    sf = SMALL.replace("0.001", "0.01")
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = d.select("doc_id", "lang", "source", "text").collect()
+    s = stats.statistics(pa.array([r["text"] for r in rows]))
+    x = stats.features(s)[:, outliers.AT]
+    groups = collections.defaultdict(list)
+    for k, r in enumerate(rows):
+        if s[k, 0] >= 20 and 100 * s[k, 4] <= 30 * s[k, 0]:
+            groups[r["lang"], r["source"]].append(k)
+    groups = {g: np.array(at) for g, at in groups.items() if math.comb(len(at), math.ceil(outliers.SHARE * len(at))) <= 6000}
+    few = {k for at in groups.values() for k in at.tolist()}
+    assert len(groups) > 40
+    d = d.where(F.col("doc_id").isin([rows[k]["doc_id"] for k in few]))
+    own = {g: x[at][best_subset(x[at])] for g, at in groups.items()}
+    target = sum(len(v) * np.cov(v.T, bias=True) for v in own.values() if len(v) > 1) / sum(map(len, own.values()))
+    want = {}
+    for at in groups.values():
+        v = x[at][best_subset(x[at], target)]
+        cov = np.cov(v.T, bias=True) if len(v) > 1 else np.zeros((outliers.D,) * 2)
+        y = x[at] - v.mean(axis=0)
+        dist = np.einsum("ij,jk,ik->i", y, np.linalg.inv(outliers.regularised(cov, len(at), target)), y)
+        want |= {rows[k]["doc_id"]: q <= outliers.CUTOFF for k, q in zip(at.tolist(), dist)}
+    got = {r["doc_id"]: r["kept"] for r in outliers.judge(d).collect()}
+    assert got.keys() == want.keys() and 0 < sum(not v for v in want.values())
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_concentration_finds_the_least_determinant(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(rng.integers(4, 12), outliers.D)) * rng.choice([0.1, 1, 3])
+    det = lambda own: np.linalg.slogdet(outliers.regularised(np.cov(x[own].T, bias=True), len(x)))[1]
+    assert det(outliers.concentrate(x, starts=60)) <= det(best_subset(x)) + 1e-6
+
+
 def test_concentration_ignores_outliers():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(300, outliers.D)), rng.normal(8, 0.1, size=(60, outliers.D))])

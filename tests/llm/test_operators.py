@@ -35,7 +35,7 @@ def messy():
     base = make(60)
     texts += [base, base, base.replace("alpha", "omega", 1), base + " extra", make(5), make(4), make(3000), "line one\nline one\nline one\n" * 20, "# $ % & | < >" * 10]
     texts += [make(rng.randint(1, 90)) for _ in range(30)]
-    texts += ["Licensed under the MIT License. Copyright (c) 2020 Foo. All rights reserved.", "GNU General Public License v3, CC-BY 4.0 and cc by", "SPDX-License-Identifier: Apache-2.0 all-rights\nreserved", "accbyte ccé by"]
+    texts += ["Licensed under the MIT License. Copyright (c) 2020 Foo. All rights reserved.", "GNU General Public License v3, CC-BY 4.0 and cc by", "SPDX-License-Identifier: Apache-2.0 all-rights\nreserved", "accbyte ccé by", "nul\x00in\x7fword all\x00rights\x01reserved", "\u212aMIT LICENSE and mit l\u0130cense, L\u0130CENSED UNDER THE GPL 2"]
     rows = [(i, t, rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "s3", None, "é"]), None if t is None else len(t)) for i, t in enumerate(texts)]
     rows += [rows[10], (None, base, "en", "s1", 1), (7777, base, None, None, 1)]
     return [(*r, *["clash"] * (len(DOCS) - 5)) for r in rows]
@@ -140,6 +140,16 @@ def test_mixture_meets_targets(spark):
     assert math.isclose(sum(r["target"] for r in rows), sum(r["size"] for r in rows))
 
 
+def test_rows_that_repeat_are_split(spark):
+    rows = [(7, "four words are here", "a")] * 100 + [(k, "one two", "b") for k in range(10)] + [(1, "x y z", None)] * 9
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mixture(d).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(got) == 3 and {r["n"] for r in got} == {100, 10, 9}
+    assert all(abs(r["taken"] - r["target"]) <= r["size"] for r in got)
+    again = mixing.mixture(d.repartition(2)).agg(F.sum("taken")).first()[0]
+    assert again == sum(r["taken"] for r in got) == mixing.mix(d).agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
+
+
 # -- 2: language model -------------------------------------------------------------
 
 
@@ -336,6 +346,7 @@ def test_similarity_join_edges(spark, docs, nothing, monkeypatch):
     assert in_order(jaccard.join(docs)) == want
     monkeypatch.setattr(jaccard, "HOT", 2)  # every shingle that is met twice is dealt out
     monkeypatch.setattr(jaccard, "NEIGHBOURS", 2)
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 1)  # and its rows are dealt over as many salts
     assert in_order(jaccard.join(docs)) == want
     assert jaccard.join(nothing).count() == 0
 
@@ -513,7 +524,7 @@ def test_license_scan(docs, nothing):
         t = d["text"] or ""
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
         places = sorted((i, v) for k, v in names.items() for i in range(len(w)) if tuple(w[i : i + len(k)]) == k)
-        hits = [(m.start(), -m.end(), s.priority, s.label) for s in signatures if s.keyword in t.lower() for m in re.finditer(s.pattern, t.lower(), re.ASCII)]
+        hits = [(m.start(), -m.end(), s.priority, s.label) for s in signatures if s.keyword in low(t) for m in re.finditer(s.pattern, low(t), re.ASCII)]
         labels, n = sweep(hits)
         r = got[d["doc_id"]].pop()
         assert r["n_words"] == len(w) and r["n_base"] == len(places)
@@ -585,7 +596,7 @@ def test_pack_is_tight():
 # -- 10: archives ------------------------------------------------------------------
 
 
-def test_archives(spark):
+def test_archives(spark, monkeypatch):
     rng = random.Random(9)
     html = [None, "", "<p>x</p>", "<p>x</p>", "é\r\n\r\nWARC/1.1\r\n", "long " * 40_000] + [f"<b>{rng.randint(0, 4)}</b>" for _ in range(20)]
     rows = [(i, f"http://Www.Ex{i % 3}.com:80/a b?q={i}#f", h, "clash") for i, h in enumerate(html)] + [(100, None, "y", "c"), (None, "::bad::[", "y", "c"), (2, "http://again.com", "<p>x</p>", "c")]
@@ -603,6 +614,8 @@ def test_archives(spark):
     got = warc.captures(pages).select("url_key", "captured", "page_id").collect()
     keys = [(r[0], r[1], r[2] is None, r[2] or 0) for r in got]
     assert keys == sorted(keys) and len(keys) == len(rows)
+    monkeypatch.setattr(warc, "WINDOW", 2)
+    assert keys == [(r[0], r[1], r[2] is None, r[2] or 0) for r in warc.captures(pages).select("url_key", "captured", "page_id").collect()]
     runs = warc.index_runs(warc.write(pages, most_bytes=300))
     assert runs.select("archive").distinct().count() > 3
     assert warc.records(pages.limit(0)).count() == 0

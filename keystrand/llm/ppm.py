@@ -28,8 +28,8 @@ from . import text as T
 
 ORDER = 5
 CHUNK_BYTES = 32 << 20
-#: Text for each shard of the trie: the first for small inputs, the second once there are 256 shards.
-SHARD_TEXT_BYTES = (32 << 20, 2 << 30)
+#: Text for each shard of the trie, whatever the input.
+SHARD_TEXT_BYTES = 32 << 20
 _END = 0xFF
 _END_WORD = np.uint64(1)
 _GRAM, _WORD, _LOW, _SUMS, _GRAM_VALUE, _WORD_VALUE, _DOC = range(7)
@@ -317,7 +317,7 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", (~is_held_out(F.col("doc_id"))).alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = max(12, min(-(-total // SHARD_TEXT_BYTES[0]), max(256, -(-total // SHARD_TEXT_BYTES[1]))))
+    n_shards = max(12, -(-total // SHARD_TEXT_BYTES))
     made = _gather(rows, n_shards)
     low = low_levels(*_low_counts(made.where(F.col("kind") == _LOW).select("chunk", "kind", "shard", "keys", "vals"), n_shards))
     answers = _answers(made.where(F.col("kind").isin(_GRAM, _WORD)).select("chunk", "kind", "shard", "keys", "vals"), low, n_shards)
@@ -325,8 +325,9 @@ def score(docs: DataFrame) -> DataFrame:
     train_tokens, distinct = (int(sum(int(s[k]) for s in sums)) for k in (0, 1))
     texts = made.where(F.col("kind").isin(_GRAM, _WORD, _DOC)).select("chunk", "kind", "shard", F.when(F.col("kind") != _DOC, F.col("keys")).alias("keys"), F.lit(None).cast("binary").alias("vals"), "doc_id", "train", "text")
     back = answers.where(F.col("kind") != _SUMS).select("chunk", "kind", "shard", "keys", "vals", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("string").alias("text"))
-    part = F.shiftright("chunk", 24).cast("int")  # the input partition whose chunks these are
-    n_parts = (texts.agg(F.max(part)).first()[0] or 0) + 1
+    origin, sub = F.shiftright("chunk", 24), F.col("chunk").bitwiseAND(F.lit((1 << 24) - 1))  # input partition, chunk in it
+    most = texts.agg(F.max(origin), F.max(sub)).first()
+    part, n_parts = (origin + sub * ((most[0] or 0) + 1)).cast("int"), ((most[0] or 0) + 1) * ((most[1] or 0) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, dict[int, np.ndarray]] = {}

@@ -30,8 +30,10 @@ SKETCH_BITS = 20
 SLICES = 16
 #: A prefix shingle with more rows than this (by the sketch) is dealt over several shards.
 HOT = 1 << 16
-#: Packed prefix rows of a shard: the first for small inputs, the second once there are 1,024 shards.
-SHARD_BYTES = (16 << 20, 512 << 20)
+#: Packed prefix rows of a shard, whatever the input.
+SHARD_BYTES = 16 << 20
+#: A shingle's rows are dealt over so many salts that about so many rows meet under one.
+SALT_ROWS = 500
 FLUSH_BYTES = 32 << 20
 FILTER_BITS = 26
 #: The suffix filter cuts hash space into so many ranges, of whose sizes it keeps the parities.
@@ -174,9 +176,10 @@ def _dealt(rows: np.ndarray, counts: np.ndarray, n_shards: int) -> pa.RecordBatc
 
 
 def _meetings(packed: DataFrame, sketch: np.ndarray, n_shards: int) -> DataFrame:
-    """(token, cls, n, pos) of prefix rows that share their token with a class whose size and
-    position fit theirs.  Of tokens with many rows, all rows with a class of a like size."""
-    shared = packed.sparkSession.sparkContext.broadcast(np.flatnonzero(sketch >= HOT))
+    """(token, cls, n, pos, salts) of prefix rows that share their token with a class whose size and
+    position fit theirs.  Of tokens with many rows, all rows with a class of a like size.  salts:
+    over how many salts the token's rows are dealt; rows of one token may differ, the most counts."""
+    shared = packed.sparkSession.sparkContext.broadcast((sketch // HOT).astype(np.uint16) if sketch.max(initial=0) // HOT < 1 << 16 else sketch // HOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.frombuffer(raw.as_buffer(), _ROW) for batch in batches for raw in batch.column(1)]
@@ -190,9 +193,11 @@ def _meetings(packed: DataFrame, sketch: np.ndarray, n_shards: int) -> DataFrame
         fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]) | (n[1:] != n[:-1])
         rows = rows[fresh]
         token, n, rest = rows["token"], rows["n"].astype(np.int64), rows["n"].astype(np.int64) - rows["pos"]
-        keep = np.isin((token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), shared.value)
+        parts = shared.value[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
+        keep = parts > 0  # the other rows of the token may be in other shards
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        many = np.repeat(np.diff(np.append(begin, len(rows))) > NEIGHBOURS, np.diff(np.append(begin, len(rows))))
+        alike = np.repeat(np.diff(np.append(begin, len(rows))), np.diff(np.append(begin, len(rows))))
+        many, salts = alike > NEIGHBOURS, -(-alike * (parts + 1) // SALT_ROWS)
         for d in range(1, min(NEIGHBOURS, len(rows))):
             like = (token[d:] == token[:-d]) & (5 * n[:-d] >= 4 * n[d:])
             if not like.any():
@@ -200,12 +205,12 @@ def _meetings(packed: DataFrame, sketch: np.ndarray, n_shards: int) -> DataFrame
             fits = like & ((9 * np.minimum(rest[:-d], rest[d:]) >= 4 * (n[:-d] + n[d:])) | many[d:])
             keep[d:] |= fits
             keep[:-d] |= fits
-        rows = rows[keep]
+        rows, salts = rows[keep], salts[keep]
         for at in range(0, len(rows), 100_000):
-            own = rows[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own["token"].astype(np.uint64).view(np.int64)), pa.array(own["cls"].astype(np.int64)), pa.array(own["n"].astype(np.int32)), pa.array(own["pos"].astype(np.int32))], ["token", "cls", "n", "pos"])
+            own, dealt = rows[at : at + 100_000], salts[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own["token"].astype(np.uint64).view(np.int64)), pa.array(own["cls"].astype(np.int64)), pa.array(own["n"].astype(np.int32)), pa.array(own["pos"].astype(np.int32)), pa.array(dealt.astype(np.int32))], ["token", "cls", "n", "pos", "salts"])
 
-    return scratch.table(scratch.map_arrow(packed.repartitionById(n_shards, F.col("shard")), run, "token long, cls long, n int, pos int"), "meetings")
+    return scratch.table(scratch.map_arrow(packed.repartitionById(n_shards, F.col("shard")), run, "token long, cls long, n int, pos int, salts int"), "meetings")
 
 
 def _set_table(docs: DataFrame, meetings: DataFrame) -> str:
@@ -295,22 +300,34 @@ def _fits() -> Column:
     return (F.col("comp") != F.col("o_comp")) & (5 * F.least(n, other_n) >= 4 * F.greatest(n, other_n)) & (9 * F.least(n - pos, other_n - other_pos) >= 4 * (n + other_n)) & (9 * apart <= n + other_n)
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """Adds the salt of each row: below the salts of its token in whatever relation joins it."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
+
+
+def _salts() -> Column:
+    """A row for each salt of a token."""
+    return F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+
+
 def _candidates(rows: DataFrame, leaders: int | None) -> DataFrame:
     """Distinct pairs (head, tail) of different components that meet on a shingle and fit.
 
     With ``leaders``, each row is paired with so many rows of its shingle, least in orders that
     are the same for all shingles; without, with every row, but only rows outside the shingle's
     most frequent component look for partners."""
+    most = F.max("salts").alias("salts")
     if leaders:
         first = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls")).getField("cls") for k in range(leaders)]
-        heads = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array(*first).alias("heads")).where("lo < hi")
-        chosen = heads.select("token", F.explode(F.array_distinct("heads")).alias("cls")).join(rows, ["token", "cls"])
+        heads = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array(*first).alias("heads"), most).where("lo < hi")
+        chosen = heads.select("token", "salts", F.explode(F.array_distinct("heads")).alias("cls")).join(rows.drop("salts"), ["token", "cls"])
     else:
-        sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "main")
-        chosen = rows.join(main, "token").where("comp <> main")
-    other = chosen.select("token", *[F.col(c).alias(f"o_{c}") for c in _SIDE])
-    met = rows.join(other, "token").where(_fits()).select(F.col("o_cls").alias("head"), F.col("cls").alias("tail"))
+        sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), most)
+        main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), most).where("comps > 1")
+        named = main.select("token", "main", F.col("salts").alias("m_salts"), _salts().alias("salt"))
+        chosen = _salted(rows).join(named, ["token", "salt"]).where("comp <> main").drop("salts", "salt").withColumnRenamed("m_salts", "salts")
+    other = chosen.select("token", _salts().alias("salt"), *[F.col(c).alias(f"o_{c}") for c in _SIDE])
+    met = _salted(rows).join(other, ["token", "salt"]).where(_fits()).select(F.col("o_cls").alias("head"), F.col("cls").alias("tail"))
     low, high = F.least("head", "tail"), F.greatest("head", "tail")
     return met.groupBy(low.alias("low"), high.alias("high")).agg(F.min("head").alias("head")).select("head", F.when(F.col("head") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("tail"))
 
@@ -321,8 +338,8 @@ def _open(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
         rows = rows.withColumn("comp", F.col("cls"))
     else:
         rows = rows.join(roots, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    return scratch.table(rows.join(mixed, "token", "left_semi"), "open")
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("salts").alias("salts")).where("lo < hi").select("token", _salts().alias("salt"))
+    return scratch.table(_salted(rows).join(mixed, ["token", "salt"], "left_semi").drop("salt"), "open")
 
 
 def class_components(meetings: DataFrame, signs: DataFrame, sets: str) -> DataFrame | None:
@@ -358,12 +375,14 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     survey, sketch = _survey(rows)
     total = survey.where("n > 0").agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
     size = total * _ROW.itemsize
-    n_shards = max(12, min(-(-size // SHARD_BYTES[0]), max(1024, -(-size // SHARD_BYTES[1]))))
+    n_shards = max(12, -(-size // SHARD_BYTES))
     meetings = _meetings(_prefix_rows(rows.select("text"), sketch, n_shards), sketch, n_shards)
     signs = survey.where("n > 0").join(meetings.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(*[F.min(s).alias(s) for s in _SIGNS])
     sets = _set_table(rows.select("text"), meetings)
-    roots = class_components(meetings, scratch.table(signs, "signatures"), sets)
-    docs.sparkSession.sql(f"DROP TABLE {sets}")
+    try:
+        roots = class_components(meetings, scratch.table(signs, "signatures"), sets)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE {sets}")
     return survey, roots
 
 

@@ -1,14 +1,17 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 Hundreds of regular expressions, each behind a keyword that its matches always contain, are tried
-on the lower-cased text in one row, without a shuffle.  Detections are swept in order of start,
-longest first: one that lies within an earlier one goes, and of two that overlap in part the one
-of higher priority stays.
+on the text, with A-Z folded, in one row, without a shuffle.  Detections are swept in order of start,
+longest first: one that lies within an earlier one goes, whatever its priority, and of two that
+overlap in part the one of higher priority stays.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from re._constants import BRANCH, LITERAL, SUBPATTERN
+from re._parser import parse
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +23,52 @@ _BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved
 _BASE_PATTERN = f"(?i)(?=[cga])(?<!{_IN})(?:" + "|".join(p.replace(" ", f"{_GAP}+") for p in _BASE) + f")(?!{_IN})"
 
 
+_GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+
+
+def _n_words(text: Column) -> Column:
+    """Words of a text: runs of other characters than gaps, which become spaces first, as a
+    pattern of one character is several times faster than one of ranges."""
+    return F.regexp_count(F.translate(text, _GAPS, " " * len(_GAPS)), F.lit("[^ ]+"))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` matches lower-cased text and every match contains ``keyword``; low ``priority`` wins."""
+    """``pattern`` matches text whose A-Z are lower-cased; every match contains ``keyword`` and one of
+    the ``stems``; low ``priority`` wins."""
 
     label: str
     priority: int
     keyword: str
     pattern: str
+    stems: tuple[str, ...] = ()
+
+
+def stems(pattern: str, keyword: str) -> tuple[str, ...]:
+    """Strings of which every match has one: of each branch of the pattern, the longest literal, but
+    rather one that says more than the keyword."""
+
+    def literals(parts: list) -> Iterator[str]:
+        run = ""
+        for op, value in parts:
+            if op is LITERAL:
+                run += chr(value)
+                continue
+            yield run
+            run = ""
+            if op is SUBPATTERN:
+                yield from literals(list(value[3]))
+        yield run
+
+    branches = [[]]
+    for part in list(parse(pattern)):
+        inner = list(part[1][3]) if part[0] is SUBPATTERN else [part]
+        if len(inner) == 1 and inner[0][0] is BRANCH and len(branches) == 1:
+            branches = [branches[0] + list(b) for b in inner[0][1][1]]
+        else:
+            branches = [b + [part] for b in branches]
+    found = [max(literals(b), key=lambda x: (x not in keyword, len(x))) for b in branches]
+    return tuple(sorted(set(found))) if all(found) else ()
 
 
 # Label, SPDX identifier, how texts write the name, where the license lives.
@@ -142,7 +183,15 @@ def rules() -> list[Rule]:
                 Rule(f"cc-{short}-{version}", 42, "creative commons", rf"\bcreative commons {long}\s+(?:international\s+|unported\s+|generic\s+)?{v}"),
                 Rule(f"cc-{short}-{version}", 43, "cc", rf"\bcc[ -]{short.replace('-', '[ -]')}[ -]{v}\b"),
             ]
-    return sorted(out, key=lambda r: (r.priority, r.label, r.pattern))
+    return sorted((replace(r, pattern=_bounded(r.pattern), stems=stems(r.pattern, r.keyword)) for r in out), key=lambda r: (r.priority, r.label, r.pattern))
+
+
+def _bounded(pattern: str) -> str:
+    r"""Word boundaries (\b) at the ends as looks for A-Z, digits and underscores, as Java's \b
+    differs between versions beside other letters."""
+    if pattern.startswith(r"\b"):
+        pattern = "(?<![a-z0-9_])" + pattern[2:]
+    return pattern.replace(r"\b", "(?![a-z0-9_])")
 
 
 def _spans(text: Column, rule: Column) -> Column:
@@ -173,10 +222,25 @@ def _sweep(hits: Column) -> Column:
         F.struct(F.array_union(last["labels"], F.array(last["label"])).alias("labels"), (last["n"] + 1).alias("n")))
 
 
-def detections(text: Column, signatures: list[Rule]) -> Column:
-    """All matches of the rules whose keyword the lower-cased text contains, sorted for the sweep."""
-    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for r in signatures])
-    return F.array_sort(F.flatten(F.transform(F.filter(table, lambda r: F.contains(text, r["keyword"])), lambda r: _spans(text, r))))
+def detections(text: Column, lower: Column, signatures: list[Rule]) -> Column:
+    """All matches of the rules whose keyword the lower-cased text contains, sorted for the sweep.
+
+    ``lower`` may have more letters lower-cased than A-Z, as it only holds more keywords then; the
+    patterns fold A-Z alone."""
+    tree: dict[str, dict[tuple[str, ...], list[Rule]]] = {}
+    for r in signatures:
+        tree.setdefault(r.keyword, {}).setdefault(r.stems or (r.keyword,), []).append(r)
+
+    def node(r: Rule) -> Column:
+        return F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit("(?i)" + r.pattern).alias("pattern"))
+
+    def group(some: tuple[str, ...], own: list[Rule]) -> Column:
+        return F.struct(F.array(*map(F.lit, some)).alias("stems"), F.array(*map(node, own)).alias("rules"))
+
+    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*[group(*g) for g in own.items()]).alias("groups")) for k, own in tree.items()])
+    open_ = F.flatten(F.transform(F.filter(table, lambda t: F.contains(lower, t["keyword"])), lambda t: t["groups"]))
+    gated = F.flatten(F.transform(F.filter(open_, lambda g: F.exists(g["stems"], lambda x: F.contains(lower, x))), lambda g: g["rules"]))
+    return F.array_sort(F.flatten(F.transform(F.filter(gated, lambda r: F.rlike(text, r["pattern"])), lambda r: _spans(text, r))))
 
 
 def scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
@@ -196,19 +260,19 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
     if any(r.keyword == "cc" for r in signatures):
         some = some | F.col("l_lower").rlike(r"\bcc[ -]by[ -]")
     rows = rows.withColumn("l_base", F.col("l_text").rlike(_BASE_PATTERN)).withColumn("l_some", some)
-    n_words = F.regexp_count("l_text", F.lit(f"{_IN}+"))
+    n_words = _n_words(F.col("l_text"))
     found = F.when(F.col("l_base"), F.regexp_extract_all("l_text", F.lit(_BASE_PATTERN), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
     between = F.when(F.col("l_base"), F.split("l_text", _BASE_PATTERN, -1))
-    rows = rows.select("doc_id", n_words.cast("long").alias("n_words"), "l_lower", "l_some", found.alias("l_found"), between.alias("l_between"))
+    rows = rows.select("doc_id", n_words.cast("long").alias("n_words"), "l_text", "l_lower", "l_some", found.alias("l_found"), between.alias("l_between"))
     label = F.transform("l_found", lambda m: F.when(F.lower(F.substring(m, 1, 1)) == "c", "cc-by").when(F.lower(F.substring(m, 1, 1)) == "g", "gpl").otherwise("reserved"))
-    after = F.regexp_count(F.element_at("l_between", -1), F.lit(f"{_IN}+"))
+    after = _n_words(F.element_at("l_between", -1))
     final = F.when(F.element_at(label, -1) == "cc-by", 2).otherwise(3)
     rows = rows.select(
         "doc_id", "n_words", F.size("l_found").cast("long").alias("n_base"),
-        F.when(F.size("l_found") > 0, F.regexp_count(F.element_at("l_between", 1), F.lit(f"{_IN}+"))).cast("long").alias("first_word"),
+        F.when(F.size("l_found") > 0, _n_words(F.element_at("l_between", 1))).cast("long").alias("first_word"),
         F.when(F.size("l_found") > 0, F.col("n_words") - after - final).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(label)).alias("l_labels"),
-        F.when(F.col("l_some"), detections(F.col("l_lower"), signatures)).otherwise(F.expr("cast(array() as array<struct<start:int,neg_end:int,priority:int,label:string>>)")).alias("l_hits"))
+        F.when(F.col("l_some"), detections(F.col("l_text"), F.col("l_lower"), signatures)).otherwise(F.expr("cast(array() as array<struct<start:int,neg_end:int,priority:int,label:string>>)")).alias("l_hits"))
     rows = rows.withColumn("l_kept", _sweep(F.col("l_hits")))
     return rows.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("l_labels", ",").alias("base_labels"),

@@ -18,6 +18,7 @@ from datetime import UTC, datetime, timedelta
 from typing import Any
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,9 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 ARCHIVE_BYTES = 64 << 20
+#: Captures that a task of the merge gets, about; it holds their columns and a window of each run.
+RANGE_ROWS = 250_000
+WINDOW = 256
 
 
 def payload_digest(payload: Column) -> Column:
@@ -108,6 +112,25 @@ def members(stream: Any) -> Iterator[tuple[int, bytes]]:
         data = data or stream.read(1 << 20)
 
 
+class Run(Sequence):
+    """Captures a to b of a table as sort keys, made for one window at a time."""
+
+    def __init__(self, table: pa.Table, a: int, b: int) -> None:
+        self.table, self.a, self.n = table, a, b - a
+        self.start, self.window = 0, []
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> tuple:
+        if not self.start <= i < self.start + len(self.window):
+            self.start = i
+            part = self.table.slice(self.a + i, min(WINDOW, self.n - i))
+            page = part.column("page_id").to_pylist()
+            self.window = list(zip(part.column("url_key").to_pylist(), part.column("captured").to_pylist(), [p is None for p in page], [p or 0 for p in page], part.column("archive").to_pylist(), part.column("at").to_pylist()))
+        return self.window[i - self.start]
+
+
 class LoserTree:
     """Merges k sorted sequences: each step replays one path of log2(k) matches."""
 
@@ -214,22 +237,30 @@ def index_runs(manifest: DataFrame) -> DataFrame:
 def merge(runs: DataFrame) -> DataFrame:
     """All captures in global order of URL key, date, page_id (null last), archive and place.
 
-    Ranges of that key are dealt over tasks, so one URL may span several; each task holds its
-    range of the index alone."""
+    Ranges of that key, of about RANGE_ROWS captures each, are dealt over tasks, so one URL may
+    span several.  A task gets its part of each run and merges these by the loser tree, reading
+    each through a window."""
     key = ["url_key", "captured", F.col("page_id").asc_nulls_last(), "archive", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
-        table = pa.Table.from_batches(held) if held else None
+        table = pa.Table.from_batches(held).combine_chunks() if held else None
         if table is None or not table.num_rows:
             return
-        archive, at, url, date, page = (table.column(n).to_pylist() for n in ("archive", "at", "url_key", "captured", "page_id"))
-        keys = list(zip(url, date, [p is None for p in page], [p or 0 for p in page], archive, at))
-        edges = [0] + [i for i in range(1, len(keys)) if archive[i] != archive[i - 1]] + [len(keys)]
-        order = [edges[r] + i for r, i in LoserTree([keys[a:b] for a, b in zip(edges, edges[1:])])]
-        yield from table.take(pa.array(order, pa.int64())).combine_chunks().to_batches(10_000)
-
-    return scratch.map_arrow(runs.repartitionByRange(*key).sortWithinPartitions("archive", *key[:3], "at"), run, runs.schema)
+        archive = table.column("archive").combine_chunks().dictionary_encode()
+        codes = (archive.chunk(0) if isinstance(archive, pa.ChunkedArray) else archive).indices.to_numpy()
+        edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+        order: list[int] = []
+        for r, i in LoserTree([Run(table, a, b) for a, b in zip(edges, edges[1:])]):
+            order.append(edges[r] + i)
+            if len(order) == 10_000:
+                yield from table.take(pa.array(order, pa.int64())).combine_chunks().to_batches()
+                order = []
+        if order:
+            yield from table.take(pa.array(order, pa.int64())).combine_chunks().to_batches()
+
+    n = max(1, -(-runs.count() // RANGE_ROWS), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return scratch.map_arrow(runs.repartitionByRange(n, *key).sortWithinPartitions("archive", *key[:3], "at"), run, runs.schema)
 
 
 def captures(pages: DataFrame) -> DataFrame:

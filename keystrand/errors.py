@@ -19,3 +19,7 @@ class NotFound(KeystrandError, LookupError):
 
 class Conflict(KeystrandError):
     """Another writer published this manifest version first, again and again."""
+
+
+class Expired(KeystrandError, LookupError):
+    """A past state was asked for whose versions a compaction has dropped."""

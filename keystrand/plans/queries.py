@@ -312,7 +312,13 @@ def kv_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", K.big_endian(F.col("o_orderkey")).alias("big_endian"), F.octet_length("o_orderpriority").cast("long").alias("n_bytes"), K.percent_decoded(F.replace(F.url_encode("o_orderpriority"), F.lit("+"), F.lit("%20"))).alias("decoded"))
 
 
-@_query()
+# The table of the reversed polynomial 0xEDB88320 by eight steps for each byte, then a fold over the bytes.
+_CRC = """, t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS table_),
+h AS (SELECT seq, printf('%02x', CAST(op AS INTEGER)) || printf('%016x', seq) || hex(encode(k)) || coalesce(hex(encode(v)), '') AS h FROM log)
+SELECT seq, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))), lambda c, b: xor(c >> 8, table_[CAST(xor(c & 255, b) AS INTEGER) + 1])), 4294967295) AS crc FROM h, t"""
+
+
+@_query(_LOG + _CRC)
 def kv_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.framed(event_log(spark, sf_dir)).select("seq", "crc")
 
@@ -325,6 +331,13 @@ def kv_log_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.valid_prefix(torn).select(F.col("key").alias("k"), "seq")
 
 
+@_query(_LOG + "SELECT k, seq FROM log WHERE seq < 2345")
+def kv_log_torn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replay of a log whose record 2345 was cut short and can't be read, in whatever order."""
+    records = logs.framed(event_log(spark, sf_dir))
+    return logs.whole_prefix(records.where(F.col("pos") != 2345)).select(F.col("key").alias("k"), "seq")
+
+
 # A fold over the list of all sizes; the state is the buffer's size after a row, and what was frozen.
 _SIZES = "WITH sizes AS (SELECT list(struct_pack(seq := event_id, b := CAST(12 + strlen(event_type) + strlen(props) AS BIGINT)) ORDER BY event_id) AS l FROM events), "
 _NEXT = "CASE WHEN a.size >= 4096 THEN 0 ELSE a.size END + x.size"

@@ -6,6 +6,7 @@ manifest version and the sequence numbers up to that version's last.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import replace
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrand.errors import BadKey
+from keystrand.errors import BadKey, Expired
 from keystrand.functions.bounds import UNBOUNDED, Bound, in_range, included
 from keystrand.operators import compaction, versions
 from keystrand.schema import DELETE, LOG, MAX_KEY_BYTES, MAX_SEQ, PUT, entry_bytes
@@ -23,6 +24,8 @@ from keystrand.sources.staging import stage
 
 #: Expected distinct keys of a file, for its bloom filter.
 BLOOM_KEYS = 1_000_000
+#: A file that no version holds is taken for abandoned after so many seconds.
+ORPHAN_SECONDS = 24 * 3600.0
 _RUN = T.StructType([T.StructField("key", T.StringType()), T.StructField("rel", T.LongType()), T.StructField("op", T.ByteType()), T.StructField("value", T.BinaryType())])
 
 
@@ -105,8 +108,12 @@ class KVTable:
     def log(self, start: Bound = UNBOUNDED, end: Bound = UNBOUNDED, version: int | None = None, as_of: int | None = None) -> DataFrame:
         """All versions in a key range at a manifest version, up to a sequence number.
 
-        Files outside the range aren't opened; the range reaches the scans of the others."""
+        Files outside the range aren't opened; the range reaches the scans of the others.  Expired
+        where a compaction has dropped versions that ``as_of`` needs; an earlier manifest version
+        still has them until it is vacuumed."""
         at = self.manifest.load(version)
+        if as_of is not None and as_of < at.merged_seq:
+            raise Expired(f"versions up to {at.merged_seq} have been merged; {as_of} can't be read")
         rows = self._read(at.in_range(start, end)).where(in_range(F.col("key"), start, end))
         return versions.as_of(rows, at.last_seq if as_of is None else min(as_of, at.last_seq))
 
@@ -163,20 +170,27 @@ class KVTable:
         size = kept.agg(F.coalesce(F.sum(entry_bytes()), F.lit(0))).first()[0]
         made = self._write(kept, todo.level, max(1, -(-size // self.output_bytes))) if size else ()
         gone = {f.file_id for f in todo.inputs}
+        merged = max(f.max_seq for f in todo.inputs)
 
         def publish(old: Version) -> Version:
             if not gone <= {f.file_id for f in old.files}:
                 raise RuntimeError("another compaction has taken these files")
-            return replace(old, files=tuple(f for f in old.files if f.file_id not in gone) + made, compactions=old.compactions + 1)
+            return replace(old, files=tuple(f for f in old.files if f.file_id not in gone) + made, compactions=old.compactions + 1, merged_seq=max(old.merged_seq, merged))
 
         return self.manifest.commit(publish)
 
-    def vacuum(self, retain: int = 1) -> list[str]:
-        """Deletes files that none of the last ``retain`` versions holds, and older versions."""
+    def vacuum(self, retain: int = 1, in_flight: float = ORPHAN_SECONDS) -> list[str]:
+        """Deletes older versions than the last ``retain``, and the files that only they hold.
+
+        Files that no version holds may be a writer's that hasn't published yet; they go once they
+        haven't changed for ``in_flight`` seconds."""
         numbers = self.manifest.numbers()
         kept, gone = numbers[-retain:], numbers[:-retain]
-        live = {f.path for n in kept for f in self.manifest.load(n).files}
-        removed = [p for p in self.manifest.store.files("runs") if not p.rsplit("/", 1)[-1].startswith(("_", ".")) and p not in live]
+        past = {f.path for n in gone for f in self.manifest.load(n).files}
+        found = self.manifest.store.modified("runs")
+        live = {f.path for n in [*kept, *(n for n in self.manifest.numbers() if n not in numbers)] for f in self.manifest.load(n).files}
+        old = time.time() - in_flight
+        removed = [p for p, t in found.items() if not p.rsplit("/", 1)[-1].startswith(("_", ".")) and p not in live and (p in past or t < old)]
         for n in gone:
             self.manifest.store.delete(Manifest._name(n))
         for p in removed:

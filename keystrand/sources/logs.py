@@ -1,16 +1,17 @@
 """Write-ahead log files: checksummed records in numbered generations.
 
-A log file is JSON lines, written in order.  Replay keeps the records before the first damaged
-one; generations are replayed in numeric order.
+A log file is JSON lines with positions.  Replay keeps the records before the first that is damaged
+or missing; generations are replayed in numeric order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keystrand.functions.keys import checksum
+from keystrand.operators.versions import numbered
 from keystrand.schema import DELETE, PUT
 from keystrand.sources.store import Store
 
@@ -33,6 +34,23 @@ def valid_prefix(records: DataFrame, group: str | None = None) -> DataFrame:
     return joined.where(F.col("_bad").isNull() | (F.col("pos") < F.col("_bad"))).drop("_bad")
 
 
+def whole_prefix(records: DataFrame) -> DataFrame:
+    """Records before the first position (from 1) that is missing, as a torn record's is, in whatever
+    order the records are read.  The driver gets a row for each 65,536 positions."""
+    own = F.shiftright(F.col("pos") - 1, 16)
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy("pos"))
+    ranked = records.select("pos").distinct().withColumn("_block", own).withColumn("_rank", rank)
+    sound = (F.col("pos") - 1).bitwiseAND(F.lit(65_535)) == F.col("_rank") - 1
+    end = 0
+    for block, n in sorted((r[0], r[1]) for r in ranked.groupBy("_block").agg(F.count(F.when(sound, 1))).collect()):
+        if block << 16 != end:
+            break
+        end += n
+        if n < 1 << 16:
+            break
+    return records.where(F.col("pos").between(1, end))
+
+
 class LogDir:
     """The log files of a store, by generation."""
 
@@ -50,19 +68,16 @@ class LogDir:
         return self.store.path(f"wal/{generation:020d}.wal")
 
     def append(self, log: DataFrame) -> int:
-        """Writes a new generation; returns its number."""
+        """Writes a new generation in order of seq, positions counted from 1; returns its number."""
         number = self.highest() + 1
-        framed(log).write.json(self._path(number))
+        framed(numbered(log, ["seq"]), "n").write.json(self._path(number))
         return number
 
     def replay(self, generation: int) -> DataFrame:
-        """The valid prefix of one log; records cut short read as nulls and end it."""
+        """The valid prefix of one log.  A record that was cut short can't be read, so its position
+        is missing; it and all after it are left out."""
         records = self.spark.read.schema(RECORD).option("mode", "PERMISSIVE").json(self._path(generation))
-        end = F.coalesce(F.max("pos"), F.lit(0)) + 1
-        torn = records.where("pos is null").limit(1).select("pos")
-        last = records.agg(end.alias("_end"))
-        whole = records.where("pos is not null")
-        return valid_prefix(whole.unionByName(torn.crossJoin(last).select(F.col("_end").alias("pos"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in RECORD.fields[1:]])))
+        return whole_prefix(valid_prefix(records.where("pos is not null")))
 
     def replay_all(self) -> DataFrame | None:
         """All logs, with their generation, oldest first; None where there are none."""

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
+#: File systems whose files appear when they are closed and can't be renamed in one step.
+OBJECT_STORES = ("s3a", "s3", "gs", "abfs", "abfss", "wasb", "wasbs", "oss")
+
+
+def _taken(e: Exception) -> bool:
+    return any(x in str(e) for x in ("AlreadyExists", "already exists", "PreconditionFailed", "412"))
+
 
 class Store:
     """Lists, reads, creates and deletes files under a folder."""
@@ -45,32 +54,62 @@ class Store:
         finally:
             stream.close()
 
+    def modified(self, folder: str) -> dict[str, float]:
+        """When each file below a folder was last changed, in seconds since 1970."""
+        at = self._path(self.path(folder))
+        if not self._fs.exists(at):
+            return {}
+        base = self._fs.makeQualified(self._path(self.root)).toUri().getPath().rstrip("/") + "/"
+        found, walk = {}, self._fs.listFiles(at, True)
+        while walk.hasNext():
+            s = walk.next()
+            found[s.getPath().toUri().getPath().removeprefix(base)] = s.getModificationTime() / 1000
+        return found
+
     def create(self, name: str, content: str) -> bool:
-        """Writes a file that must not exist yet; False if it does.
+        """Writes a file that must not exist yet; False if it does.  One step decides and shows the
+        whole content, so a writer that dies leaves nothing that stands in another's way.
 
-        The content goes to a file of its own first and is renamed, so a reader never sees part
-        of it and of two writers one wins."""
+        Local files are linked and those of a file system with atomic renames renamed, both only
+        where the name is free.  Object stores show a file when it is closed; that of two writers
+        one fails there needs their conditional writes to be on."""
         target = self._path(self.path(name))
         if self._fs.exists(target):
             return False
-        import uuid
-
+        scheme = self._fs.getUri().getScheme()
+        if scheme in OBJECT_STORES:
+            try:
+                self._put(target, content)
+            except Exception as e:  # noqa: BLE001
+                if _taken(e):
+                    return False
+                raise
+            return True
         part = self._path(self.path(f"{name}.{uuid.uuid4().hex}.part"))
-        out = self._fs.create(part, False)
+        self._put(part, content)
+        jvm = self.spark._jvm
+        try:
+            if scheme == "file":
+                local = lambda p: jvm.java.io.File(self._fs.makeQualified(p).toUri().getPath()).toPath()
+                jvm.java.nio.file.Files.createLink(local(target), local(part))
+            else:
+                none = self.spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(part, target, none)
+        except Exception as e:  # noqa: BLE001
+            if _taken(e):
+                return False
+            raise
+        finally:
+            self._fs.delete(part, False)
+        return True
+
+    def _put(self, path, content: str) -> None:
+        out = self._fs.create(path, False)
         try:
             out.write(bytearray(content.encode()))
             out.hsync()
         finally:
             out.close()
-        claim = self._path(self.path(f"{name}.claim"))
-        try:  # an exclusive create decides; rename may replace on some stores
-            self._fs.create(claim, False).close()
-        except Exception as e:  # noqa: BLE001
-            self._fs.delete(part, False)
-            if "exist" in str(e).lower():
-                return False
-            raise
-        return bool(self._fs.rename(part, target))
 
     def delete(self, name: str) -> bool:
         return self._fs.delete(self._path(self.path(name)), True)

@@ -20,9 +20,12 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``, set to a fresh one where it is unset."""
+    """The folder named in ``spark.checkpoint.dir``, set to a fresh one where it is unset and Spark runs in
+    this process alone; on a cluster ValueError."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="keystrand-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

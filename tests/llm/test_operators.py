@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from keystrand.llm import fingerprints, jaccard, licenses, mixing, outliers, packing, ppm, quality, queries, stats, tokens, warc
+from keystrand.llm import fingerprints, jaccard, licenses, mixing, outliers, packing, ppm, quality, queries, scratch, stats, tokens, warc
 from keystrand.llm import text as X
 
 SMALL = "/root/testdata/sf0.001"
@@ -671,5 +671,26 @@ def test_pipeline(spark):
     assert len(clean & ids[1]) >= 0.97 * len(clean) and len({i for i, q in lab.items() if q == 0} & ids[1]) <= 2
 
 
+@pytest.mark.parametrize("kind", ["messy", "empty"])
+def test_stages_take_nulls_clashing_columns_and_empty_tables(spark, docs, nothing, kind):
+    seen = docs if kind == "messy" else nothing
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, seen = seen, scratch.table(stage(spark, seen, SMALL), "stage-test")
+        assert k == 4 or (seen.columns == docs.columns and (k == 3 or seen.count() <= before.count()))
+        assert seen.count() == 0 or kind == "messy"
+        seen = docs if kind == "messy" and k < 3 else seen  # each stage meets all the cases
+    assert kind == "empty" or seen.count() > 0
+
+
+def test_a_very_long_text(spark):
+    long = "Some plain words of a very long text, line by line.\n" * 100_000
+    d = spark.createDataFrame([(1, long, "en", "s"), (2, "short text", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"]: r["n_words"] for r in outliers.judge(d).collect()} == {1: 1_100_000, 2: 2}
+    rows = packing.packed(d, queries.tokenizer_path(spark, "word_bpe_49k.json")).where("doc_id = 1").collect()
+    assert sum(r["length"] for r in rows) > 1_100_000 and {r["start"] for r in rows} == {2048 * k for k in range(len(rows))}
+    assert {r["doc_id"]: r["n_chars"] for r in fingerprints.fingerprints(d).collect()} == {1: len(long), 2: 10}
+    assert {r["doc_id"]: r["n_words"] for r in licenses.scan(d).collect()} == {1: 1_100_000, 2: 2}
+
+
 def test_registered():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(queries.QUERIES) and len(queries.QUERIES) == 10

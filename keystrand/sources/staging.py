@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is set only where it has none."""
+    """The session's checkpoint folder; a local one is set only where it has none and Spark
+    runs in this process alone; on a cluster ValueError."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="keystrand-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -21,5 +21,9 @@ class Conflict(KeystrandError):
     """Another writer published this manifest version first, again and again."""
 
 
+class Stalled(KeystrandError, TimeoutError):
+    """Compaction stayed behind the writes for too long."""
+
+
 class Expired(KeystrandError, LookupError):
     """A past state was asked for whose versions a compaction has dropped."""

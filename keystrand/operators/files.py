@@ -67,7 +67,7 @@ def split_by_bytes(log: DataFrame, target: int, slices: int = 64) -> DataFrame:
 
     The running size is a window within hashed-free key ranges: partial sums per range give each
     range its offset, so no task orders the whole log."""
-    from keystrand.operators.versions import stage
+    from keystrand.operators.versions import _OFFSETS, local_table, stage
 
     key = ["key", F.col("seq").desc()]
     local = F.monotonically_increasing_id()
@@ -77,7 +77,7 @@ def split_by_bytes(log: DataFrame, target: int, slices: int = 64) -> DataFrame:
     for part, size in sums:
         offsets.append((part, total))
         total += size
-    table = log.sparkSession.createDataFrame(offsets, "_part long, _offset long")
+    table = local_table(log.sparkSession, _OFFSETS, offsets)
     before = F.coalesce(F.sum("_bytes").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = staged.join(table, "_part").withColumn("file_no", F.floor((F.col("_offset") + before) / target).cast("long"))
     return placed.drop("_part", "_at", "_bytes", "_offset")

@@ -8,12 +8,15 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrand.functions.bounds import UNBOUNDED, Bound, in_range
 from keystrand.schema import PUT, entry_bytes
-from keystrand.sources.staging import stage
+from keystrand.sources.staging import local_table, stage
+
+_OFFSETS = pa.schema([("_part", pa.int64()), ("_offset", pa.int64())])
 
 
 def newest_per_key(log: DataFrame) -> DataFrame:
@@ -115,7 +118,7 @@ def with_offsets(staged: DataFrame) -> DataFrame:
     for part, count in counts:
         offsets.append((part, total))
         total += count
-    table = staged.sparkSession.createDataFrame(offsets, "_part long, _offset long")
+    table = local_table(staged.sparkSession, _OFFSETS, offsets)
     return staged.join(table, "_part", "left").withColumn("n", F.col("_offset") + F.col("_at") + 1).drop("_offset")
 
 

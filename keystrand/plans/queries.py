@@ -6,6 +6,7 @@ type is 'error', else a put of "type|props".
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +17,12 @@ from keystrand.functions import samplers
 from keystrand.functions.bounds import UNBOUNDED, Bound, excluded, in_range, included
 from keystrand.operators import files as FL
 from keystrand.operators import versions as V
-from keystrand.plans import report, workload
+from keystrand.plans import report, runner, workload
 from keystrand.plans.server import scan_response
+from keystrand.plans.table import KVTable
 from keystrand.schema import DELETE, PUT
 from keystrand.sources import logs, manifest
+from keystrand.sources.staging import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -438,22 +441,37 @@ def bench_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workload.operations(spark, workload.load("ycsb-e", keys=10_000), 20_000)
 
 
-@_query(_LOG + "SELECT k, v FROM live")
-def kv_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log written as four batches to a table in the shared folder, compacted and scanned."""
-    import uuid
-
-    from keystrand.plans.table import KVTable
-    from keystrand.sources.staging import shared_dir
-
+def _stored(spark: SparkSession, sf_dir: str, compact: bool) -> KVTable:
+    """The log written as four batches to a table in the shared folder."""
     kv = KVTable(spark, f"{shared_dir(spark)}/keystrand-tables/{uuid.uuid4().hex}")
     log = event_log(spark, sf_dir)
     n = log.agg(F.max("seq")).first()[0] or 1
     for k in range(4):
         part = log.where((F.col("seq") > k * n // 4) & (F.col("seq") <= (k + 1) * n // 4))
         kv.write_batch(part.repartitionByRange("seq").sortWithinPartitions("seq"))
-    kv.compact()
-    return _text(kv.scan(limit=None))
+    if compact:
+        kv.compact()
+    return kv
+
+
+@_query(_LOG + "SELECT k, v FROM live")
+def kv_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written, compacted and scanned."""
+    return _text(_stored(spark, sf_dir, True).scan(limit=None))
+
+
+@_query(ORACLE_SQL["kv_multi_get"])
+def kv_table_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer looked up in the four runs, as they are before a compaction."""
+    probes = table(spark, sf_dir, "customer").select(F.format_string("user_%06d", F.col("c_custkey")).alias("key"))
+    return _text(_stored(spark, sf_dir, False).multi_get(probes), "hit")
+
+
+@_query(_LOG + ", ranked AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS before FROM live), scans AS (SELECT o_orderkey, o_custkey % 100 + 1 AS n, printf('user_%06d', o_custkey) AS s FROM orders) SELECT o_orderkey AS step, least(n, (SELECT count(*) FROM live) - coalesce(before, (SELECT count(*) FROM live))) AS rows FROM scans ASOF LEFT JOIN ranked ON s <= k")
+def bench_scan_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a scan from each order's customer returns."""
+    scans = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("step"), F.format_string("user_%06d", F.col("o_custkey")).alias("key"), (F.col("o_custkey") % 100 + 1).alias("scan_length"))
+    return runner.scan_sizes(V.live_view(event_log(spark, sf_dir)), scans)
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "Bound", "event_log", "kv_scan"]

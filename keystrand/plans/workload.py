@@ -5,11 +5,13 @@ from __future__ import annotations
 import tomllib
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrand.functions import samplers
 from keystrand.functions.keys import encode_key
+from keystrand.sources.staging import local_table
 
 KINDS = ("read", "update", "insert", "rmw", "scan")
 DISTRIBUTIONS = ("uniform", "zipfian", "latest")
@@ -96,7 +98,7 @@ def operations(spark: SparkSession, spec: Workload, n: int, seed: int = 42) -> D
     for b, k in sums:
         offsets.append((b, total))
         total += k
-    placed = kinds.join(spark.createDataFrame(offsets, "block long, offset long"), "block")
+    placed = kinds.join(local_table(spark, pa.schema([("block", pa.int64()), ("offset", pa.int64())]), offsets), "block")
     before = F.coalesce(F.sum(is_insert).over(Window.partitionBy("block").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     there = (F.lit(spec.keys) + F.col("offset") + before).alias("there")
     rows = placed.select("step", "kind", there)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def local_table(spark: SparkSession, schema: pa.Schema, rows: list[tuple]) -> DataFrame:
+    """Rows of the driver as a relation whose size Spark knows, so that a join broadcasts it where it
+    is below Spark's own threshold and never for being assumed small."""
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Writes a DataFrame once and reads it back; the folder goes when the driver's JVM ends."""
     spark = df.sparkSession

@@ -19,7 +19,9 @@ def ingest(mutations: DataFrame, table: KVTable, checkpoint: str, name: str = "i
     """Writes each micro-batch of (key, op, value) as one run; ids make replays harmless.
 
     Columns beyond these that order the rows of a batch (``seq``) are respected if present.
-    Intake is bounded by the source's own limits (maxFilesPerTrigger and the like)."""
+    Intake is bounded by the source's own limits (maxFilesPerTrigger and the like); a table with
+    ``max_pending`` holds batches back while compaction is behind, and the query fails with Stalled
+    where that takes too long, to go on from the same batch when it is started again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.repartitionByRange("seq").sortWithinPartitions("seq") if "seq" in batch.columns else batch

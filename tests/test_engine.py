@@ -1,12 +1,13 @@
 """Log semantics, table, compaction and manifest: contract, invariants, and a model to match."""
 
 import random
+import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from keystrand.errors import BadKey, Expired, NotFound
+from keystrand.errors import BadKey, Expired, NotFound, Stalled
 from keystrand.functions import keys as K
 from keystrand.functions.bounds import UNBOUNDED, Bound, excluded, included, may_hold
 from keystrand.operators import compaction, versions
@@ -181,6 +182,63 @@ def test_past_states_after_a_compaction(spark, tmp_path):
     assert table.get("a", as_of=2) == b"2" and table.get("a", as_of=1, version=before) == b"1"
 
 
+def test_multi_get_skips_files(spark, tmp_path):
+    table = KVTable(spark, f"file://{tmp_path}/m")
+    for k in range(5):
+        table.put_batch(spark.createDataFrame([(f"{k}{i:02d}", bytearray(b"%d" % k)) for i in range(0, 40, 2)], "key string, value binary").coalesce(1))
+    table.delete("204")
+    at = table.manifest.load()
+    ask = lambda *keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    touched = lambda *keys: {f.path.split("/")[1] for f in table.files_for(ask(*keys))}
+    runs = list(dict.fromkeys(f.path.split("/")[1] for f in at.files))
+    assert touched("104", "438") <= {runs[1], runs[4]} and touched("138x", "000 ", None) <= {runs[0]}
+    assert touched("9", "", None) == set()
+    got = {r["key"]: (r["hit"], r["value"] and bytes(r["value"])) for r in table.multi_get(ask("104", "105", "204", "438", None)).collect()}
+    assert got == {"104": (True, b"1"), "105": (False, None), "204": (False, None), "438": (True, b"4"), None: (False, None)}
+    many = [f"{k}{i:02d}" for k in range(6) for i in range(40)]
+    assert sum(r["hit"] for r in table.multi_get(ask(*many)).collect()) == 99
+    plan = table.log()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange hashpartitioning" not in plan
+    assert KVTable(spark, f"file://{tmp_path}/none").multi_get(ask("a")).collect()[0]["hit"] is False
+
+
+def test_manifest_of_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest, "CHECKPOINT_EVERY", 4)
+    root = f"file://{tmp_path}/e"
+    own = manifest.Manifest(spark, root)
+    meta = lambda i: manifest.FileMeta(f"r{i}/f", 0, f"runs/r{i}/f", "a", "b", i, i, 1, 1)
+    states = {}
+    for i in range(1, 11):
+        change = lambda v, i=i: manifest.replace(v, files=tuple(f for f in v.files if f.max_seq % 3) + (meta(i),), last_seq=i, batches=v.with_batch(f"s/{i}"))
+        states[i] = own.commit(change)
+    fresh = lambda: manifest.Manifest(spark, root)
+    assert all(fresh().load(i) == v for i, v in states.items()) and fresh().load() == states[10]
+    assert list(fresh().walk(states)) == list(states.values())
+    assert states[10].batches == {"s/": 10} and states[10].has_batch("s/7") and not states[10].has_batch("s/11")
+    assert own._found()[1] == [4, 8]
+    table = KVTable(spark, root)
+    table.vacuum(retain=3)
+    assert fresh()._found() == ([8, 9, 10], [8]) and all(fresh().load(i) == states[i] for i in (8, 9, 10))
+    table.vacuum(retain=2)
+    assert fresh()._found() == ([9, 10], [9]) and fresh().load() == states[10]
+
+
+def test_writers_wait_for_compaction(spark, tmp_path):
+    table = KVTable(spark, f"file://{tmp_path}/b", max_pending=2, stall_seconds=0.2)
+    table.put("a", b"1"), table.put("b", b"2")
+    assert table.is_falling_behind()
+    with pytest.raises(Stalled):
+        table.put("c", b"3")
+    table.stall_seconds = 60
+    with ThreadPoolExecutor(1) as pool:
+        late = pool.submit(table.put, "c", b"3")
+        time.sleep(0.3)
+        assert not late.done()
+        table.compact(force=True)
+        late.result()
+    assert [r["key"] for r in table.scan(limit=None).collect()] == ["a", "b", "c"] and table.state()[1:3] == (0, 0)
+
+
 def test_torn_record_ends_replay(spark, tmp_path):
     logs = LogDir(spark, f"file://{tmp_path}/t")
     logs.append(log(spark, [(f"k{i}", 10 * i, 1, b"v") for i in range(1, 6)]).coalesce(1))

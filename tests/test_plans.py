@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from keystrand.functions import samplers
-from keystrand.plans import queries, report, workload
+from keystrand.plans import queries, report, runner, workload
 from keystrand.plans.server import handle, serve
 from keystrand.plans.table import KVTable
 from keystrand.streaming.ingest import ingest, newest_stream, tumbling_counts
@@ -187,3 +187,27 @@ def test_http_contract(spark, tmp_path):
     with pytest.raises(urllib.error.HTTPError):
         urllib.request.urlopen(f"{url}/kv/none")
     server.shutdown()
+
+
+def test_workload_run(spark, tmp_path):
+    spec = workload.load(None, keys=50, value_size=20, op_mix={"read": 0.3, "update": 0.2, "insert": 0.2, "rmw": 0.1, "scan": 0.2}, max_scan_length=30)
+    table = KVTable(spark, f"file://{tmp_path}/run", level_zero_files=2)
+    table.put_batch(workload.initial_rows(spark, spec))
+    with runner.StateSampler(table, 0.2) as sampler:
+        got = sorted(runner.run(table, spec, 120, block=50).collect())
+    ops = sorted(workload.operations(spark, spec, 120).collect())
+    assert [(r["step"], r["kind"], r["key"]) for r in got] == [(r["step"], r["kind"], r["key"]) for r in ops]
+    there, later = {f"key_{i:020d}" for i in range(50)}, set()
+    for r, op in zip(got, ops):
+        if r["step"] % 50 == 0:
+            there, later = there | later, set()
+        assert r["hit"] == ((r["key"] in there) if r["kind"] in ("read", "rmw") else None)
+        assert r["rows"] == (min(op["scan_length"], sum(k >= r["key"] for k in there)) if r["kind"] == "scan" else None)
+        assert 0 < r["latency_ns"] <= r["t_ns"]
+        if r["kind"] in ("update", "insert", "rmw"):
+            later.add(r["key"])
+    assert {r["key"] for r in table.scan(limit=None).collect()} == there | later
+    samples = sorted(sampler.snapshots().collect())
+    assert len(samples) >= 2 and samples[-1]["total_flushes"] == 4 and samples[-1]["total_compactions"] > 0
+    series = report.time_series(runner.run(table, spec, 10), sampler.snapshots(), 3)
+    assert series.count() == 3

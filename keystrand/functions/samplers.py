@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def unit(row: Column, seed: int, salt: int) -> Column:
-    """A number in [0, 1) from a row number."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), row), 11) / float(1 << 53)
+    """A number in [0, 1) from a row number: the first 52 bits of the md5 of "seed/salt/row", which
+    any SQL engine can make too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.lit(salt), row)), 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def uniform_key(u: Column, n: Column) -> Column:

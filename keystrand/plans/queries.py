@@ -429,16 +429,34 @@ def bench_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workload.scheduled(table(spark, sf_dir, "events").select(F.col("event_id").alias("step")), 2000)
 
 
-@_query()
+def _unit_sql(seed: int, salt: int, row: str) -> str:
+    return f"CAST('0x' || substr(md5('{seed}/{salt}/' || {row}), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
+
+
+# z: the number n of ranks, the sum of their weights and eta, which inverts the distribution.
+_ZIPF_Z = """z AS (SELECT n, total, (1 - pow(2.0 / n, 1 - 0.99)) / (1 - (1 + pow(2.0, -0.99)) / total) AS eta
+  FROM (SELECT any_value(n) AS n, sum(pow(CAST(i AS DOUBLE), -0.99)) AS total FROM (SELECT n, unnest(range(1, n + 1)) AS i FROM ranks)))"""
+_ZIPF_RANK = """CAST(least(greatest(CASE WHEN u * total < 1 THEN 1 WHEN u * total < 1 + pow(0.5, 0.99) THEN 2
+  ELSE 1 + floor(n * pow(eta * u - eta + 1, 1 / (1 - 0.99))) END, 1), n) AS BIGINT)"""
+
+
+@_query(f"""WITH ranks AS (SELECT count(*) AS n FROM orders), {_ZIPF_Z},
+us AS (SELECT {_unit_sql(42, 1, "id")} AS u FROM (SELECT unnest(range(10 * n)) AS id FROM ranks))
+SELECT {_ZIPF_RANK} AS rank, count(*) AS count FROM us, z GROUP BY 1""")
 def bench_zipf_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "orders").count()
     rank = samplers.zipf_rank(samplers.unit(F.col("id"), 42, 1), n)
     return spark.range(10 * n).select(rank.alias("rank")).groupBy("rank").count()
 
 
-@_query()
+@_query(f"""WITH ranks AS (SELECT 10000 AS n), {_ZIPF_Z},
+us AS (SELECT step, {_unit_sql(42, 1, "step")} < 0.95 AS scans, {_unit_sql(42, 2, "step")} AS u, {_unit_sql(42, 3, "step")} AS length FROM range(20000) AS r(step)),
+placed AS (SELECT *, {_ZIPF_RANK} AS rank, n + count(*) FILTER (NOT scans) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS there FROM us, z)
+SELECT step, CASE WHEN scans THEN 'scan' ELSE 'insert' END AS kind, printf('key_%020d', CAST(CASE WHEN scans THEN least(rank, there) - 1 ELSE there END AS BIGINT)) AS key,
+  CAST(CASE WHEN scans THEN 1 + least(floor(length * 100), 99) ELSE 0 END AS INTEGER) AS scan_length FROM placed""")
 def bench_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workload.operations(spark, workload.load("ycsb-e", keys=10_000), 20_000)
+    ops = workload.operations(spark, workload.load("ycsb-e", keys=10_000), 20_000)
+    return ops.withColumn("scan_length", F.coalesce("scan_length", F.lit(0)))
 
 
 def _stored(spark: SparkSession, sf_dir: str, compact: bool) -> KVTable:

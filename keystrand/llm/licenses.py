@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from re import escape
 from re._constants import BRANCH, LITERAL, SUBPATTERN
 from re._parser import parse
 
@@ -162,11 +163,34 @@ _SINGLE = [
     Rule("other", 96, "licen", r"\bopen[- ]source\s+licen[sc]e\b"),
     Rule("other", 97, "spdx", r"\bspdx-license-identifier:\s*[a-z0-9.+-]+"),
 ]
+# Label, keyword, and a sentence of the license's text or of the notice that it asks for.
+_BODIES = [
+    ("apache-2.0", "licen", "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an"),
+    ("apache-2.0", "licen", "subject to the terms and conditions of this license, each contributor hereby grants to you a perpetual, worldwide"),
+    ("gpl-2.0", "licen", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "licen", "the licenses for most software and other practical works are designed to take away your freedom"),
+    ("gpl-3.0", "gnu", "the gnu general public license is a free, copyleft license for software and other kinds of works"),
+    ("gpl", "gnu", "it under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "gnu", "it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl-2.0", "gnu", "it under the terms of the gnu library general public license as published by the free software foundation"),
+    ("lgpl-2.1", "licen", "this license, the lesser general public license, applies to some specially designated software packages"),
+    ("lgpl-3.0", "gnu", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    ("agpl-3.0", "gnu", "it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl-3.0", "gnu", "the gnu affero general public license is a free, copyleft license for software and other kinds of works"),
+    ("mpl-1.1", "licen", "the contents of this file are subject to the mozilla public license version 1.1"),
+    ("mpl-2.0", "licen", "this source code form is subject to the terms of the mozilla public license, v. 2.0"),
+    ("epl", "licen", "the accompanying program is provided under the terms of this eclipse public license"),
+    ("epl-1.0", "licen", "made available under the terms of the eclipse public license v1.0"),
+    ("epl-2.0", "licen", "made available under the terms of the eclipse public license 2.0"),
+    ("cddl-1.0", "licen", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+]
 
 
 def rules() -> list[Rule]:
-    """All rules in order of priority: tag, place and name of each known license, then the rest."""
-    out = list(_SINGLE)
+    """All rules in order of priority: tag, text, place and name of each known license, then the rest.
+    A text's sentence may be broken over lines at any space."""
+    out = _SINGLE + [Rule(label, 25, keyword, r"\b" + escape(sentence).replace(r"\ ", r"\s+") + r"\b") for label, keyword, sentence in _BODIES]
     for label, spdx, name, place in _KNOWN:
         out += [
             Rule(label, 20, "spdx", rf"spdx-license-identifier:\s*\(?(?:{spdx})(?![\w.-])"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from keystrand.llm import fingerprints, jaccard, licenses, mixing, outliers, packing, ppm, quality, queries, scratch, stats, tokens, warc
+from keystrand.llm import base, fingerprints, jaccard, licenses, mixing, outliers, packing, ppm, quality, queries, scratch, stats, tokens, warc
 from keystrand.llm import text as X
 
 SMALL = "/root/testdata/sf0.001"
@@ -694,3 +694,39 @@ def test_a_very_long_text(spark):
 
 def test_registered():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(queries.QUERIES) and len(queries.QUERIES) == 10
+
+
+@pytest.mark.parametrize("name", list(base.QUERIES))
+def test_base_columns_as_sql_has_them(spark, name):
+    con = pytest.importorskip("duckdb").connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    got = base.QUERIES[name](spark, SMALL)
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({base.ORACLE_SQL[name]})").fetchall()
+    assert in_order(got) == sorted(want, key=lambda r: (r[0], str(r)))
+
+
+def test_license_texts_are_found(spark):
+    texts = [(k, "Intro.\n" + s.replace(" ", "\n   ", 3).capitalize() + ".", label) for k, (label, _, s) in enumerate(licenses._BODIES)]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string, label string")).collect()}
+    assert all(label in got[k] for k, _, label in texts)
+
+
+def test_quality_fit_is_the_regularised_discriminant(spark, docs, labels):
+    """Means, shrunk covariances, densities and logistic curve once more, from all rows at once."""
+    rows = docs.collect()
+    x = stats.features(stats.statistics(pa.array([r["text"] for r in rows])))
+    held = [r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows]
+    y = np.array([-1 if h or r["doc_id"] is None or r["doc_id"] >= 60 else r["doc_id"] % 2 for r, h in zip(rows, held)])
+    own = [x[y == k] for k in (0, 1)]
+    cov = [np.cov(o.T, bias=True) for o in own]
+    pooled = sum(len(o) * c for o, c in zip(own, cov)) / sum(map(len, own))
+    round_ = np.trace(pooled) / len(pooled) * np.eye(len(pooled))
+    toward = lambda c: 0.95 * c + 0.05 * round_
+    shrunk = [0.8 * toward(c) + 0.2 * toward(pooled) + 1e-9 * np.eye(len(pooled)) for c in cov]
+    log = [-0.5 * (np.einsum("ij,jk,ik->i", x - o.mean(axis=0), np.linalg.inv(c), x - o.mean(axis=0)) + np.linalg.slogdet(c)[1]) for o, c in zip(own, shrunk)]
+    e = log[1] - log[0] + math.log(len(own[1]) / len(own[0]))
+    e = np.sign(e) * np.log1p(abs(e))
+    binned = np.round(e[y >= 0] * 20) / 20
+    slope, shift = quality.logistic(binned, y[y >= 0].astype(float), np.ones((y >= 0).sum()))
+    want = sorted((str(r["doc_id"]), round(float(s), 6)) for r, s in zip(rows, 1 / (1 + np.exp(-(slope * e + shift)))))
+    assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in quality.classify(docs, labels).collect()) == want

@@ -50,6 +50,11 @@ FEW = 4
 LEADERS = (2, 8)
 
 _ROW = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+#: Prefix rows name a shingle by so many high bits: equal shingles always meet, and two that only
+#: look equal make a candidate that verification refuses.
+TOKEN_BITS = 48
+_TOKEN_LOW = np.uint64(64 - TOKEN_BITS)
+_SLICE_BYTES = 4 * (1 << SKETCH_BITS) // SLICES
 
 
 def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +89,44 @@ def _class_keys(keys: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The ``width`` low bytes of all values, byte by byte: high ones that are zero compress to nothing."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)[:, :width].T.tobytes()
+
+
+def _of_planes(raw: np.ndarray, width: int, dtype: str) -> np.ndarray:
+    out = np.zeros((len(raw) // width, np.dtype(dtype).itemsize), np.uint8)
+    out[:, :width] = raw.reshape(width, -1).T
+    return out.view(dtype).ravel()
+
+
+def _pack(rows: np.ndarray) -> bytes:
+    """Prefix rows that are sorted by token, for a shuffle: tokens as the steps between them."""
+    steps = np.diff(rows["token"] >> _TOKEN_LOW, prepend=np.uint64(0))
+    raw = _planes(steps, TOKEN_BITS // 8) + rows["cls"].tobytes() + _planes(rows["n"], 4) + _planes(rows["pos"], 4)
+    return len(rows).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(raw: pa.Buffer) -> np.ndarray:
+    n = int.from_bytes(raw[:8].to_pybytes(), "little")
+    width = TOKEN_BITS // 8
+    data = np.frombuffer(pa.decompress(raw[8:], decompressed_size=n * (width + 16), codec="zstd"), np.uint8)
+    token, cls, size, pos = np.split(data, [n * width, n * (width + 8), n * (width + 12)])
+    out = np.empty(n, _ROW)
+    out["token"] = np.cumsum(_of_planes(token, width, "<u8"), dtype=np.uint64) << _TOKEN_LOW
+    out["cls"], out["n"], out["pos"] = cls.view("<i8"), _of_planes(size, 4, "<i4"), _of_planes(pos, 4, "<i4")
+    return out
+
+
+def _pack_set(keys: np.ndarray) -> bytes:
+    """A sorted set as the steps between its members, whose high bytes are zero."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)), 8)
+
+
+def _unpack_set(raw: pa.Buffer) -> np.ndarray:
+    return np.cumsum(_of_planes(np.frombuffer(raw, np.uint8), 8, "<u8"), dtype=np.uint64)
+
+
 def _signatures(keys: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Parities of the sizes of 2^RANGE_BITS hash ranges, as 64-bit words for each set.
 
@@ -114,7 +157,7 @@ def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(np.diff(bound).astype(np.int64)), pa.array(_class_keys(keys, bound)), *(pa.array(np.ascontiguousarray(signs[:, i])) for i in range(_SIGN)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if id_type is not None:
             parts = counts.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, id_type), *(pa.nulls(SLICES, pa.int64()) for _ in names[1:-2]), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, id_type), *(pa.nulls(SLICES, pa.int64()) for _ in names[1:-2]), pa.array(range(SLICES), pa.int32()), pa.array([pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in parts], pa.binary())], names)
 
     made = scratch.table(scratch.map_arrow(docs, run, f"doc_id {kind}, {', '.join(f'{n} long' for n in names[1:-2])}, slice int, counts binary"), "survey")
 
@@ -122,7 +165,7 @@ def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(raw.as_buffer(), np.uint32)
+                own = np.frombuffer(pa.decompress(raw.as_buffer(), decompressed_size=_SLICE_BYTES, codec="zstd"), np.uint32)
                 sums[k] = sums.get(k, 0) + own.astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "counts"])
 
@@ -151,7 +194,7 @@ def _prefix_rows(docs: DataFrame, sketch: np.ndarray, n_shards: int) -> DataFram
                     n = b - a
                     order = np.argsort(rank[a:b], kind="stable")[: n // 5 + 1] + a
                     out = np.empty(len(order), _ROW)
-                    out["token"], out["cls"], out["n"], out["pos"] = keys[order], c, n, np.arange(len(order))
+                    out["token"], out["cls"], out["n"], out["pos"] = keys[order] >> _TOKEN_LOW << _TOKEN_LOW, c, n, np.arange(len(order))
                     held.append(out)
                     size += out.nbytes
                 if size > FLUSH_BYTES:
@@ -164,15 +207,17 @@ def _prefix_rows(docs: DataFrame, sketch: np.ndarray, n_shards: int) -> DataFram
 
 
 def _dealt(rows: np.ndarray, counts: np.ndarray, n_shards: int) -> pa.RecordBatch:
-    hot = counts[(rows["token"] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) // np.uint64(HOT)
-    salt = (rows["cls"].view(np.uint64) if rows["cls"].flags.c_contiguous else rows["cls"].astype(np.int64).view(np.uint64)) % (hot + np.uint64(1))
+    """The rows by shard, a range of tokens; what is dealt out of a hot token goes to any shard."""
+    token = rows["token"]
+    hot = counts[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) // np.uint64(HOT)
+    salt = rows["cls"].astype(np.int64).view(np.uint64) % (hot + np.uint64(1))
     with np.errstate(over="ignore"):
-        shard = (T.mix(rows["token"] + salt) % np.uint64(n_shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
+        shard = np.where(salt > 0, T.mix(token + salt) % np.uint64(n_shards), ((token >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((token, shard))
     shard = shard[order]
     edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
     parts = np.split(rows[order], edges[1:])
-    return pa.RecordBatch.from_arrays([pa.array(shard[edges].astype(np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["shard", "rows"])
+    return pa.RecordBatch.from_arrays([pa.array(shard[edges].astype(np.int32)), pa.array([_pack(p) for p in parts], pa.binary())], ["shard", "rows"])
 
 
 def _meetings(packed: DataFrame, sketch: np.ndarray, n_shards: int) -> DataFrame:
@@ -182,12 +227,12 @@ def _meetings(packed: DataFrame, sketch: np.ndarray, n_shards: int) -> DataFrame
     shared = packed.sparkSession.sparkContext.broadcast((sketch // HOT).astype(np.uint16) if sketch.max(initial=0) // HOT < 1 << 16 else sketch // HOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(raw.as_buffer(), _ROW) for batch in batches for raw in batch.column(1)]
+        held = [_unpack(raw.as_buffer()) for batch in batches for raw in batch.column(1)]
         if not held:
             return
         rows = np.concatenate(held)
         del held
-        rows = rows[np.lexsort((rows["cls"], rows["n"], rows["token"]))]
+        rows = rows[np.lexsort((rows["pos"], rows["cls"], rows["n"], rows["token"]))]
         token, cls, n = rows["token"], rows["cls"], rows["n"]
         fresh = np.ones(len(rows), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]) | (n[1:] != n[:-1])
@@ -213,10 +258,10 @@ def _meetings(packed: DataFrame, sketch: np.ndarray, n_shards: int) -> DataFrame
     return scratch.table(scratch.map_arrow(packed.repartitionById(n_shards, F.col("shard")), run, "token long, cls long, n int, pos int, salts int"), "meetings")
 
 
-def _set_table(docs: DataFrame, meetings: DataFrame) -> str:
-    """The name of a table (cls, members), bucketed by class: the sorted shingles of the classes
-    that meet any other.  Joins on the class don't move it again."""
-    shared = docs.sparkSession.sparkContext.broadcast(scratch.filter_bits(meetings.select("cls"), F.col("cls"), FILTER_BITS))
+def _set_table(docs: DataFrame, wanted: DataFrame, path: str) -> str:
+    """The name of a table (cls, members) at ``path``, bucketed by class: the sorted shingles of the
+    wanted classes (and of few others).  Joins on the class don't move it again."""
+    shared = docs.sparkSession.sparkContext.broadcast(scratch.filter_bits(wanted, F.col("cls"), FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -225,7 +270,7 @@ def _set_table(docs: DataFrame, meetings: DataFrame) -> str:
                 keys, bound = _sets(part.column("text"))
                 cls = _class_keys(keys, bound)
                 at = [i for i in np.flatnonzero(scratch.in_filter(shared.value, cls) & (np.diff(bound) > 0)).tolist() if not (cls[i] in seen or seen.add(cls[i]))]
-                yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array([keys[bound[i] : bound[i + 1]].tobytes() for i in at], pa.binary())], ["cls", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array([_pack_set(keys[bound[i] : bound[i + 1]]) for i in at], pa.binary())], ["cls", "members"])
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -239,7 +284,7 @@ def _set_table(docs: DataFrame, meetings: DataFrame) -> str:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = scratch.map_arrow(scratch.map_arrow(docs, run, "cls long, members binary").repartition(buckets, "cls").sortWithinPartitions("cls"), distinct, "cls long, members binary")
     name = f"keystrand_sets_{uuid.uuid4().hex}"
-    made.write.bucketBy(buckets, "cls").sortBy("cls").option("path", scratch.new_path(spark, "sets")).saveAsTable(name)
+    made.write.bucketBy(buckets, "cls").sortBy("cls").option("path", path).saveAsTable(name)
     return name
 
 
@@ -250,25 +295,39 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * (len(a) + len(b))
 
 
-def _verified(pairs: DataFrame, sets: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(head, tail, ok) for each candidate pair.
 
-    Each pair's second set goes to its first; a first with many pairs is dealt over several
-    groups, so a set moves once for each pair or group and none meets them all."""
+    Only the sets of classes in a pair are made, and go when the pairs are verified.  Each pair's
+    second set goes to where its first is; only a first with many pairs moves too, dealt over
+    several groups, so that none meets them all."""
     spark = pairs.sparkSession
+    path = scratch.new_path(spark, "sets")
+    sets = _set_table(docs, pairs.select(F.explode(F.array("head", "tail")).alias("cls")), path)
     known = spark.table(sets)
-    groups = pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-    heads = groups.select("head", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt")).join(known.select(F.col("cls").alias("head"), F.col("members").alias("head_members")), "head")
-    salt = F.pmod(F.xxhash64("tail"), F.col("groups")).cast("int").alias("salt")
-    tails = pairs.join(groups, "head").select("head", "tail", salt).join(known.select(F.col("cls").alias("tail"), F.col("members").alias("tail_members")), "tail")
-    both = tails.join(heads, ["head", "salt"]).select("head", "tail", "head_members", "tail_members")
+    head_sets = known.select(F.col("cls").alias("head"), F.col("members").alias("head_members"))
+    tail_sets = known.select(F.col("cls").alias("tail"), F.col("members").alias("tail_members"))
+    groups = scratch.table(pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups")).where("groups > 1"), "groups")
+    columns = ["head", "tail", "head_members", "tail_members"]
+    if groups.isEmpty():
+        both = pairs.join(tail_sets, "tail").join(head_sets, "head").select(columns)
+    else:
+        heads = groups.select("head", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt")).join(head_sets, "head")
+        salt = F.pmod(F.xxhash64("tail"), F.col("groups")).cast("int").alias("salt")
+        tails = pairs.join(groups, "head").select("head", "tail", salt).join(tail_sets, "tail")
+        alone = pairs.join(groups, "head", "left_anti").join(tail_sets, "tail").join(head_sets, "head")
+        both = alone.select(columns).unionAll(tails.join(heads, ["head", "salt"]).select(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
+            ok = [linked(_unpack_set(x.as_buffer()), _unpack_set(y.as_buffer())) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["head", "tail", "ok"])
 
-    return scratch.table(scratch.map_arrow(both, run, "head long, tail long, ok boolean"), "verified")
+    try:
+        return scratch.table(scratch.map_arrow(both, run, "head long, tail long, ok boolean"), "verified")
+    finally:
+        spark.sql(f"DROP TABLE {sets}")
+        scratch.remove(spark, path)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,15 +348,26 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-_SIDE = ("cls", "n", "pos", "comp", *_SIGNS)
+_SIDE = ("cls", "n", "pos", "comp")
 
 
 def _fits() -> Column:
-    """Length, positional and suffix filters for a row and another (o_...) of one shingle, of
-    different components."""
+    """Length and positional filters for a row and another (o_...) of one shingle, of different
+    components."""
     n, pos, other_n, other_pos = (F.col(c) for c in ("n", "pos", "o_n", "o_pos"))
+    return (F.col("comp") != F.col("o_comp")) & (5 * F.least(n, other_n) >= 4 * F.greatest(n, other_n)) & (9 * F.least(n - pos, other_n - other_pos) >= 4 * (n + other_n))
+
+
+def _suffix_fits() -> Column:
+    """The suffix filter for the signatures of two classes."""
     apart = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"o_{s}"))) for s in _SIGNS), F.lit(0))
-    return (F.col("comp") != F.col("o_comp")) & (5 * F.least(n, other_n) >= 4 * F.greatest(n, other_n)) & (9 * F.least(n - pos, other_n - other_pos) >= 4 * (n + other_n)) & (9 * apart <= n + other_n)
+    return 9 * apart <= F.col("n") + F.col("o_n")
+
+
+def _suffixes_fit(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """The pairs (head, tail) that the suffix filter leaves."""
+    tails = signs.select(F.col("cls").alias("tail"), *[F.col(c).alias(f"o_{c}") for c in ("n", *_SIGNS)])
+    return pairs.join(signs.withColumnRenamed("cls", "head"), "head").join(tails, "tail").where(_suffix_fits()).select("head", "tail")
 
 
 def _salted(rows: DataFrame) -> DataFrame:
@@ -310,26 +380,31 @@ def _salts() -> Column:
     return F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
 
 
-def _candidates(rows: DataFrame, leaders: int | None) -> DataFrame:
+def _candidates(rows: DataFrame, signs: DataFrame, leaders: int | None) -> DataFrame:
     """Distinct pairs (head, tail) of different components that meet on a shingle and fit.
 
     With ``leaders``, each row is paired with so many rows of its shingle, least in orders that
-    are the same for all shingles; without, with every row, but only rows outside the shingle's
-    most frequent component look for partners."""
-    most = F.max("salts").alias("salts")
+    are the same for all shingles; pairs are few enough to look up signatures for the suffix filter
+    once they are distinct.  Without, it is paired with every row, but only rows outside the
+    shingle's most frequent component look for partners, and rows carry their signatures, so that
+    of texts with a common passage only pairs that fit are made."""
+    most, side, fits = F.max("salts").alias("salts"), _SIDE, _fits()
     if leaders:
         first = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls")).getField("cls") for k in range(leaders)]
         heads = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array(*first).alias("heads"), most).where("lo < hi")
         chosen = heads.select("token", "salts", F.explode(F.array_distinct("heads")).alias("cls")).join(rows.drop("salts"), ["token", "cls"])
     else:
+        side, fits = (*_SIDE, *_SIGNS), fits & _suffix_fits()
         sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), most)
         main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), most).where("comps > 1")
+        rows = rows.join(signs.select("cls", *_SIGNS), "cls")
         named = main.select("token", "main", F.col("salts").alias("m_salts"), _salts().alias("salt"))
         chosen = _salted(rows).join(named, ["token", "salt"]).where("comp <> main").drop("salts", "salt").withColumnRenamed("m_salts", "salts")
-    other = chosen.select("token", _salts().alias("salt"), *[F.col(c).alias(f"o_{c}") for c in _SIDE])
-    met = _salted(rows).join(other, ["token", "salt"]).where(_fits()).select(F.col("o_cls").alias("head"), F.col("cls").alias("tail"))
+    other = chosen.select("token", _salts().alias("salt"), *[F.col(c).alias(f"o_{c}") for c in side])
+    met = _salted(rows).join(other, ["token", "salt"]).where(fits).select(F.col("o_cls").alias("head"), F.col("cls").alias("tail"))
     low, high = F.least("head", "tail"), F.greatest("head", "tail")
-    return met.groupBy(low.alias("low"), high.alias("high")).agg(F.min("head").alias("head")).select("head", F.when(F.col("head") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("tail"))
+    pairs = met.groupBy(low.alias("low"), high.alias("high")).agg(F.min("head").alias("head")).select("head", F.when(F.col("head") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("tail"))
+    return _suffixes_fit(pairs, signs) if leaders else pairs
 
 
 def _open(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -342,7 +417,7 @@ def _open(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return scratch.table(_salted(rows).join(mixed, ["token", "salt"], "left_semi").drop("salt"), "open")
 
 
-def class_components(meetings: DataFrame, signs: DataFrame, sets: str) -> DataFrame | None:
+def class_components(meetings: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(cls, root) of the classes that link with another, or None.
 
     The first round looks at a few rows of each class, which unites most groups; the others at all
@@ -355,17 +430,20 @@ def class_components(meetings: DataFrame, signs: DataFrame, sets: str) -> DataFr
         if k == 1:
             rows = meetings
         rows = _open(rows, roots)
-        pairs = _candidates(rows.join(signs, "cls"), leaders)
+        pairs = _candidates(rows, signs, leaders)
         if tried is not None:
             low, high = F.least("head", "tail"), F.greatest("head", "tail")
             pairs = pairs.withColumn("low", low).withColumn("high", high).join(tried, ["low", "high"], "left_anti").select("head", "tail")
-        found = _verified(scratch.table(pairs, "pairs"), sets)
+        rows = rows.drop("comp")
+        pairs = scratch.table(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        found = _verified(pairs, docs)
         done = found.select(F.least("head", "tail").alias("low"), F.greatest("head", "tail").alias("high"))
         tried = done if tried is None else tried.unionAll(done)
         own = found.where("ok").select(F.col("head").alias("a"), F.col("tail").alias("b"))
         if not own.isEmpty():
             roots = components(own if roots is None else own.unionAll(roots.select(F.col("cls").alias("a"), F.col("root").alias("b"))))
-        rows = rows.drop("comp")
     return roots
 
 
@@ -377,13 +455,8 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     size = total * _ROW.itemsize
     n_shards = max(12, -(-size // SHARD_BYTES))
     meetings = _meetings(_prefix_rows(rows.select("text"), sketch, n_shards), sketch, n_shards)
-    signs = survey.where("n > 0").join(meetings.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(*[F.min(s).alias(s) for s in _SIGNS])
-    sets = _set_table(rows.select("text"), meetings)
-    try:
-        roots = class_components(meetings, scratch.table(signs, "signatures"), sets)
-    finally:
-        docs.sparkSession.sql(f"DROP TABLE {sets}")
-    return survey, roots
+    signs = survey.where("n > 0").join(meetings.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(*[F.min(s).alias(s) for s in ("n", *_SIGNS)])
+    return survey, class_components(meetings, scratch.table(signs, "signatures"), rows.select("text"))
 
 
 def join(docs: DataFrame) -> DataFrame:

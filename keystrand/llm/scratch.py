@@ -40,6 +40,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what is at a path of the shared folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: computed once, short lineage."""
     spark = df.sparkSession

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import unicodedata
@@ -361,6 +362,46 @@ def test_one_of_each(spark, docs, nothing):
     assert jaccard.keep_one(nothing).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that the session has written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_similarity_join_moves_little(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(150):  # texts of one shared passage and much of their own, which meet and don't link, and near copies
+        own = " ".join(f"shared{i}" for i in range(90)).split() + [f"own{k}.{i}" for i in range(rng.randint(300, 400))]
+        rows += [(len(rows) + j, " ".join([*own[: len(own) - 3 * j], *(f"new{k}.{j}.{i}" for i in range(3 * j))])) for j in range(1 + (k % 3 == 0))]
+    before = shuffled(spark)
+    got = in_order(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    moved = shuffled(spark) - before
+    assert got == sorted(brute_components(rows))
+    assert moved < 25 * sum(n for _, n, _ in got)
+
+
+def test_sets_go_once_pairs_are_verified(spark):
+    jaccard.join(spark.createDataFrame(near_copies(3), "doc_id long, text string"))
+    folder = scratch.shared_dir(spark).removeprefix("file://") + "/keystrand"
+    assert not [name for name in os.listdir(folder) if name.startswith("sets-")]
+
+
+def test_packed_rows_and_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5000):
+        rows = np.empty(n, jaccard._ROW)
+        rows["token"] = np.sort(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)) >> jaccard._TOKEN_LOW << jaccard._TOKEN_LOW
+        rows["cls"], rows["n"], rows["pos"] = rng.integers(-(1 << 63), 1 << 63, n), rng.integers(1, 3000, n), rng.integers(0, 600, n)
+        packed = jaccard._pack(rows)
+        assert np.array_equal(jaccard._unpack(pa.py_buffer(packed)), rows)
+        assert n < 5000 or len(packed) < 17 * n
+        keys = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+        assert np.array_equal(jaccard._unpack_set(pa.py_buffer(jaccard._pack_set(keys))), keys)
+
+
 def test_prefix_bound():
     for n in range(1, 500):
         assert n // 5 + 1 == n - -(-80 * n // 100) + 1

@@ -30,13 +30,15 @@ GROUPS = 24
 LONG = 1 / 3
 BLOCK = 1 << 16
 
-# Texts of these characters alone can be split by the pattern below; all others go through the
-# tokenizer as a whole.
+# Texts of these characters alone can be split into words here, by one byte for each character; all
+# others go through the tokenizer as a whole.
 _ODD = re.compile("[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]")
-_PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r 0-9a-z\xdf-\xf6\xf8-\xff]+")
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.array([_SPACE if c in "\t\n\v\f\r " else _LETTER if c.isalpha() else _DIGIT if c in "0123456789" else _OTHER for c in map(chr, range(256))], np.uint8)
 #: Bytes that a process keeps for words met before, about.
 CACHE_BYTES = 32 << 20
 _ENTRY = 250
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 # Byte-level models write bytes that don't print as the code points from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -44,6 +46,81 @@ _pack_ids = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _encoders: dict[str, Encoder] = {}
 
 
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a lower-cased text in Latin-1: 's, 't, 're, 've, 'm, 'll or 'd where a
+    run of other characters would begin, runs of letters, single digits, runs of other characters."""
+    n = len(data)
+    kind = np.full(n + 3, _SPACE, np.uint8)
+    kind[:n] = _KIND[data]
+    new = np.ones(n + 3, bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    at = np.flatnonzero(data == ord("'"))
+    at = at[new[at] & (at + 1 < n)]
+    a, b = data[at + 1], data[np.minimum(at + 2, n - 1)]
+    one = (a == ord("s")) | (a == ord("t")) | (a == ord("m")) | (a == ord("d"))
+    two = (((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))) & (at + 2 < n)
+    new[at[one | two] + 1] = False
+    new[at[one] + 2] = True
+    new[at[two] + 3] = True
+    edges = np.flatnonzero(new)
+    found = np.flatnonzero(kind[edges] != _SPACE)  # the last edge is never a word's
+    return edges[found], edges[found + 1]
+
+
+class Ids:
+    """Token ids of words of 16 bytes at most, found and added in bulk: open addressing over the words'
+    own bytes, two numbers padded by zeros, so that no two words are taken for one.  Word 0 stands for none."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros((2, 1), np.uint64)
+        self.first = np.zeros(2, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self.slots = np.zeros(1 << 10, np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.first.nbytes + self.ids.nbytes + self.slots.nbytes
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (T.mix(keys[0] ^ (keys[1] * np.uint64(T._BASE))) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each word, 0 where it is absent."""
+        slot = self._slot(keys)
+        at = self.slots[slot]
+        miss = np.flatnonzero((self.keys[0][at] != keys[0]) | (self.keys[1][at] != keys[1]))
+        miss = miss[at[miss] > 0]
+        while len(miss):
+            slot[miss] = (slot[miss] + 1) & (len(self.slots) - 1)
+            found = self.slots[slot[miss]]
+            at[miss] = found
+            miss = miss[(found > 0) & ((self.keys[0][found] != keys[0][miss]) | (self.keys[1][found] != keys[1][miss]))]
+        return at
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Adds distinct words that are absent, with the number of ids of each and all ids in a row."""
+        n = self.keys.shape[1]
+        self.keys = np.concatenate([self.keys, keys], axis=1)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
+        self.ids = np.concatenate([self.ids, ids])
+        if 2 * self.keys.shape[1] > len(self.slots):
+            self.slots = np.zeros(1 << (2 * self.keys.shape[1]).bit_length(), np.int32)
+            n = 1
+        pending = np.arange(n, self.keys.shape[1], dtype=np.int32)
+        slot = self._slot(self.keys[:, n:])
+        while len(pending):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = pending[free]
+            lost = self.slots[slot] != pending
+            pending, slot = pending[lost], (slot[lost] + 1) & (len(self.slots) - 1)
+
+
+def runs(pool: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of a pool that start at ``first``, one after another."""
+    before = np.cumsum(counts) - counts
+    return pool[np.repeat(first - before, counts) + np.arange(counts.sum())]
+
+
 class Encoder:
     """Ids of texts by a tokenizer's file, and the ids of words met before.
 
@@ -61,19 +138,65 @@ class Encoder:
         # A part with the string of an added token, in any case, goes through the tokenizer as a whole.
         added = [re.escape(t.content.lower()) for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or "(?!)")
-        self.known = T.Known(CACHE_BYTES, _ENTRY)
+        self.known = T.Known(CACHE_BYTES // 4, _ENTRY)  # longer words
+        self.young, self.old = Ids(), Ids()
 
     def _word(self, w: str) -> bytes:
         own = w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS)
         ids = [t.id for t in self.model.tokenize(own)]
         return _pack_ids[len(ids)](*ids) if len(ids) < 32 else np.array(ids, "<u4").tobytes()
 
+    def _find(self, text: str, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of words in the younger table, which learns those that it lacks."""
+        if self.young.nbytes > CACHE_BYTES // 4:
+            self.young, self.old = Ids(), self.young
+        out = self.young.find(keys)
+        lost = np.flatnonzero(out == 0)
+        at = self.old.find(keys[:, lost])
+        held = np.unique(at[at > 0])
+        counts = self.old.first[held + 1] - self.old.first[held]
+        self.young.add(self.old.keys[:, held], counts, runs(self.old.ids, self.old.first[held], counts))
+        new = lost[at == 0]
+        one = dict(zip([text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())], new.tolist()))
+        ids = list(map(self._word, one))
+        self.young.add(keys[:, list(one.values())], np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u4"))
+        out[lost] = self.young.find(keys[:, lost])
+        return out
+
+    def _plain(self, parts: list[str]) -> list[bytes]:
+        text = "\n".join(parts)
+        raw = text.encode("latin-1") + bytes(16)
+        starts, ends = words(np.frombuffer(raw, np.uint8)[: len(text)])
+        sizes = ends - starts
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the eight bytes from each place on
+        keys = np.zeros((2, len(starts)), np.uint64)
+        keys[0] = eight[starts] & _MASK[np.minimum(sizes, 8)]
+        more = np.flatnonzero(sizes > 8)
+        keys[1, more] = eight[starts[more] + 8] & _MASK[np.minimum(sizes[more] - 8, 8)]
+        short, long = np.flatnonzero(sizes <= 16), np.flatnonzero(sizes > 16)
+        first, counts = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        at = self._find(text, keys[:, short], starts[short], ends[short])
+        pool = self.young.ids
+        first[short], counts[short] = self.young.first[at], self.young.first[at + 1] - self.young.first[at]
+        if len(long):
+            own = [text[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+            get = self.known.add(set(own), lambda new: zip(new, map(self._word, new)))
+            ids = [get(w) for w in own]
+            counts[long] = [len(x) // 4 for x in ids]
+            first[long] = len(pool) + np.cumsum(counts[long]) - counts[long]
+            pool = np.concatenate([pool, np.frombuffer(b"".join(ids), "<u4")])
+        out = runs(pool, first, counts).astype("<u4").tobytes()
+        offsets = np.cumsum([0, *(len(t) + 1 for t in parts)])
+        edges = (4 * np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, offsets)]).tolist()
+        return [out[a:b] for a, b in zip(edges, edges[1:])]
+
     def _parts(self, parts: list[str]) -> list[bytes]:
-        words = [None if _ODD.search(t) or self.added.search(t.lower()) else _PRE.findall(t.lower()) for t in parts]
-        get = self.known.add(set().union(*(w for w in words if w)), lambda new: zip(new, map(self._word, new)))
-        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(parts, words)]
+        low = [t.lower() for t in parts]
+        whole = [bool(_ODD.search(t) or self.added.search(w)) for t, w in zip(parts, low)]
+        plain = iter(self._plain([w for w, x in zip(low, whole) if not x]))
+        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x else next(plain) for t, x in zip(parts, whole)]
 
-    def encode(self, texts: Iterable[str], most: int = 1 << 20) -> list[bytes]:
+    def encode(self, texts: Iterable[str], most: int = 1 << 18) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; about ``most`` characters at a time."""
         out: list[list[bytes]] = []
         parts: list[tuple[int, str]] = []

@@ -600,6 +600,33 @@ def test_encode_special_tokens(spark):
     assert 49407 in np.frombuffer(packing.encode(texts[:1], path)[0], "<u4")
 
 
+def test_encode_splits_words(spark, monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.tokenizer_path(spark, "word_bpe_49k.json")
+    tok = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(5)
+    signs = ["'", "s", "t", "re", "ve", "ll", "m", "d", "'S", "L", "r", "e", "1", "23", " ", "\n", "\t", "\x0b", "-", "!!", "\xe9", "\xc9", "\xdf", "\xff", "\xc5\xd8", "abcdefgh", "0", "\x00", "\xb2", "\xd7", "\u0130", "\u4e2d"]
+    texts = ["", "'", "''", "'s", "''s", "'sure", "it's's", "!'s", "1's", "'r", "'re", "'l", "' s", "'", "s", *("x" * k for k in range(7, 35)), *("=" * k for k in range(15, 19)), *("\xe9" * k for k in (8, 9, 16, 17, 40))]
+    texts += ["".join(rng.choices(signs[: 27 if k % 4 else None], k=rng.randint(1, 60))) for k in range(3000)]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for most in (1 << 20, 500):
+        assert packing.Encoder(path).encode(texts, most) == want
+    monkeypatch.setattr(packing, "CACHE_BYTES", 1 << 15)  # both tables are given up many times
+    small = packing.Encoder(path)
+    assert small.encode(texts, 500) == want and small.encode(texts[::-1], 500) == want[::-1]
+
+
+def test_encode_keeps_words(spark, monkeypatch):
+    path = queries.tokenizer_path(spark, "word_bpe_49k.json")
+    letters = "aeioustrnl"
+    texts = [" ".join("".join(letters[int(c)] for c in f"{k:06d}") for k in range(a, a + 10_000)) for a in range(0, 120_000, 10_000)]
+    encoder, asked, plain = packing.Encoder(path), [], packing.Encoder._word
+    monkeypatch.setattr(packing.Encoder, "_word", lambda self, w: asked.append(w) or plain(self, w))
+    first = encoder.encode(texts, 1 << 16)
+    assert encoder.encode(texts, 1 << 16) == first and len(asked) == len(set(asked)) == 120_000
+    assert encoder.young.nbytes + encoder.old.nbytes < packing.CACHE_BYTES
+
+
 def test_packing(spark, docs, nothing):
     tokenizers = pytest.importorskip("tokenizers")
     path = queries.tokenizer_path(spark, "word_bpe_49k.json")
